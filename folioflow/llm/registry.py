@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing
+from folioflow.llm import mixing, pii
 
-QUERIES = {"op3_mix_sources": mixing.op3_mix_sources}
-SQL = {"op3_mix_sources": mixing.OP3_SQL}
+QUERIES = {"op1_pii": pii.op1_pii, "op3_mix_sources": mixing.op3_mix_sources}
+SQL = {"op1_pii": pii.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL}
