@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing, pii
+from folioflow.llm import mixing, pii, quality_rules
 
-QUERIES = {"op1_pii": pii.op1_pii, "op3_mix_sources": mixing.op3_mix_sources}
+QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op3_mix_sources": mixing.op3_mix_sources,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
+#: The others cannot be said in SQL (64-bit xxHash, models, wrappers, tokenizers); tests/llm holds them against plain versions.
 SQL = {"op1_pii": pii.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL}
