@@ -38,3 +38,8 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound what an Arrow batch of whole texts may hold in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing, pii, quality_rules
+from folioflow.llm import mixing, pii, quality_rules, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_simhash": simhash.op5_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 #: The others cannot be said in SQL (64-bit xxHash, models, wrappers, tokenizers); tests/llm holds them against plain versions.
