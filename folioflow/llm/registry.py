@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing, pii, quality_rules, simhash
+from folioflow.llm import classifier, mixing, pii, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_quality": classifier.op4_quality,
     "op5_simhash": simhash.op5_simhash,
+    "op7_topk": topk.op7_topk,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 #: The others cannot be said in SQL (64-bit xxHash, models, wrappers, tokenizers); tests/llm holds them against plain versions.
-SQL = {"op1_pii": pii.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL}
+SQL = {"op1_pii": pii.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op7_topk": topk.OP7_SQL}
