@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.llm import classifier, mixing, pii, quality_rules, simhash, topk
+from folioflow.llm import classifier, html_main, mixing, pii, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality": classifier.op4_quality,
     "op5_simhash": simhash.op5_simhash,
+    "op6_html": html_main.op6_html,
     "op7_topk": topk.op7_topk,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
