@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import classifier, html_main, mixing, pii, quality_rules, simhash, topk
+from folioflow.llm import classifier, html_main, mixing, pieces, pii, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_html": html_main.op6_html,
     "op7_topk": topk.op7_topk,
+    "op8_pieces": pieces.op8_pieces,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 #: The others cannot be said in SQL (64-bit xxHash, models, wrappers, tokenizers); tests/llm holds them against plain versions.
