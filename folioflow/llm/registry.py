@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import classifier, html_main, mixing, pieces, pii, quality_rules, simhash, topk
+from folioflow.llm import classifier, html_main, lines, mixing, pieces, pii, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,7 +12,8 @@ QUERIES = {
     "op6_html": html_main.op6_html,
     "op7_topk": topk.op7_topk,
     "op8_pieces": pieces.op8_pieces,
+    "op9_lines": lines.op9_lines,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 #: The others cannot be said in SQL (64-bit xxHash, models, wrappers, tokenizers); tests/llm holds them against plain versions.
-SQL = {"op1_pii": pii.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op7_topk": topk.OP7_SQL}
+SQL = {"op1_pii": pii.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op7_topk": topk.OP7_SQL, "op9_lines": lines.OP9_SQL}
