@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.pytext import NAME, strip
+from folioflow.functions.pytext import NAME, let, strip
 
 BLOCK = rf"(?s)```{NAME}*\n.*?```"
 PLACEHOLDER = r"«CODE_BLOCK_\p{Nd}+»"
@@ -22,16 +22,22 @@ def take_out(text: Column) -> Column:
 
 
 def put_back(text: Column, blocks: Column) -> Column:
-    """Each placeholder, quoted, in backticks or without its marks, becomes its block. Blocks go in
-    literally, and placeholder 1 is not found within placeholder 10."""
+    """Each placeholder, quoted, in backticks or without its marks, becomes its block: wrappings go first,
+    then all blocks go in at once and word for word."""
 
-    def step(t: Column, i: Column) -> Column:
-        n, block = i.cast("string"), F.get(blocks, i)
-        literal = F.replace(F.replace(block, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-        marked = F.regexp_replace(t, F.concat(F.lit("`*[\"']?«CODE_BLOCK_"), n, F.lit("»[\"']?`*")), literal)
-        return F.regexp_replace(marked, F.concat(F.lit("`*(?<!«)CODE_BLOCK_"), n, F.lit(r"(?!\p{Nd})`*")), literal)
+    def mark(t: Column, i: Column) -> Column:
+        n = i.cast("string")
+        return F.regexp_replace(t, F.concat(F.lit("`*(?<!«)CODE_BLOCK_"), n, F.lit(r"(?!\p{Nd})`*")), F.concat(F.lit("«CODE_BLOCK_"), n, F.lit("»")))
 
-    return F.when(F.size(blocks) > 0, F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), text, step)).otherwise(text)
+    bare = F.regexp_replace(text, rf"`*[\"']?({PLACEHOLDER})[\"']?`*", "$1")
+    marked = F.when(bare.rlike("(?<!«)CODE_BLOCK_"), F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), bare, mark)).otherwise(bare)
+
+    def insert(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(0))
+        block = lambda m: F.coalesce(F.get(blocks, F.regexp_extract(m, r"\p{Nd}+", 0).try_cast("int")), m, F.lit(""))
+        return F.array_join(F.zip_with(F.split(t, PLACEHOLDER, -1), found, lambda gap, m: F.concat(gap, block(m))), "")
+
+    return F.when(F.size(blocks) > 0, let(marked, insert)).otherwise(text)
 
 
 def has_prose(sanitized: Column) -> Column:
