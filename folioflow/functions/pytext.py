@@ -14,7 +14,7 @@ SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 WS = f"[{SPACES}]"
 WORD = f"[^{SPACES}]+"
 NAME = r"[\p{L}\p{N}_]"
-STRIP = rf"\A{WS}+|{WS}+\z"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -24,7 +24,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def count_words(text: Column) -> Column:

@@ -42,18 +42,21 @@ def annotations(text: Column, terms: dict[str, str] = ANNOTATIONS, idempotent: b
     where it ends or inside it. With ``idempotent`` a term that has an annotated occurrence gets none.
     """
     table = F.array(*[
-        F.struct(F.lit(term_pattern(ua)).alias("p"), F.lit(en).alias("en"), F.lit(rf"(?iu)(?<!{NAME}){re.escape(ua)} \({re.escape(en)}\)").alias("done"))
+        F.struct(F.lit(term_pattern(ua)).alias("p"), F.lit(ua.lower()).alias("low"), F.lit(en).alias("en"), F.lit(rf"(?iu)(?<!{NAME}){re.escape(ua)} \({re.escape(en)}\)").alias("done"))
         for ua, en in by_length(terms)
     ])
 
-    def choose(code: Column) -> Column:
+    nowhere = F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")
+
+    def choose(code: Column, low: Column) -> Column:
         def step(chosen: Column, term: Column) -> Column:
             def free(x: Column) -> Column:
                 in_code = F.exists(code, lambda c: (c["s"] <= x["s"]) & (x["s"] < c["e"]))
                 split = F.exists(chosen, lambda y: (y["e"] > x["s"]) & (y["e"] <= x["e"]))
                 return ~in_code & ~split
 
-            first = F.slice(F.filter(places(text, term["p"]), free), 1, 1)
+            found = F.when(F.contains(low, term["low"]), places(text, term["p"])).otherwise(nowhere)
+            first = F.slice(F.filter(found, free), 1, 1)
             if idempotent:
                 first = F.when(F.regexp_like(text, term["done"]), F.slice(first, 1, 0)).otherwise(first)
             return F.concat(chosen, F.transform(first, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), term["en"].alias("en"))))
@@ -61,7 +64,7 @@ def annotations(text: Column, terms: dict[str, str] = ANNOTATIONS, idempotent: b
         return F.aggregate(table, F.expr("cast(array() as array<struct<s:int,e:int,t:string,en:string>>)"), step)
 
     none = F.expr("cast(array() as array<struct<s:int,e:int,t:string,en:string>>)")
-    return F.when(text.rlike(CYRILLIC), let(places(text, F.lit(CODE)), choose)).otherwise(none)
+    return F.when(text.rlike(CYRILLIC), let(F.lower(text), lambda low: let(places(text, F.lit(CODE)), lambda c: choose(c, low)))).otherwise(none)
 
 
 def annotate(text: Column, found: Column) -> Column:
