@@ -7,11 +7,11 @@ share a token among the first n - ceil(0.8 n) + 1 of each, and at their first co
 must still reach the needed overlap; lengths must agree within 0.8. What passes is verified on the whole
 token sets. A line goes if it matches an earlier one, in the order of doc_id, text hash and line number.
 
-Scale: equal lines are one class throughout, kept by its first occurrence and counted map-side, so a
-line that a third of all documents share is one row of the join. Only prefixes are shuffled, never all
-shingles; frequent shingles stand behind the prefixes because their words' counts are high. Classes that
-become candidates fetch their text by one join on the document, and so does the result; all joins are
-equi-joins whose skewed partitions Spark can split. The rarity table has BUCKETS rows at any size.
+Scale: equal lines are one class throughout, kept by its first occurrence and counted map-side; a line
+that is over 1 / COMMON of all speaks only once, so a line of a third of all documents is one row of the
+join. Only prefixes are shuffled, once, never all shingles, and tokens of one line only go no further;
+frequent shingles stand behind the prefixes because their words' counts are high. Classes that become
+candidates fetch their text by a join on the document, and so does the result. The rarity table has BUCKETS rows and that of common lines COMMON at most, at any size.
 
 Native: DataFrame functions only. Tokens are 63-bit: 7 bits of rarity, 56 of hash.
 
@@ -25,48 +25,40 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import WORD, cut, table, words
 
 SHINGLE = 5
 NEED, OF = 4, 5  # the similarity as a fraction
-BUCKETS = 65536
+BUCKETS = 16384
+COMMON = 20000
 _TOP = 0x7F << 56
 _LOW = (1 << 56) - 1
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A constant array: for each bucket of word hashes a class from 0 (rare) to 127, of the words' count."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")
+    """A constant array: a class from 0 (rare) to 127 for each bucket of word hashes, of the count of the bucket's words."""
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
     counted = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(bucket).count().collect()  # BUCKETS rows at most
     classes = [0] * BUCKETS
     for b, n in counted:
         classes[b] = min(127, int(4 * math.log2(n)))
-    return F.from_json(F.lit(json.dumps(classes)), "array<int>")
+    return F.from_json(F.lit(json.dumps(classes, separators=(",", ":"))), "array<tinyint>")
 
 
 def tokens(line: Column, classes: Column) -> Column:
     """The distinct tokens of a line, the rarest first."""
+    hashes = F.transform(words(line), lambda x: F.xxhash64(x))
+    top = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
+    marked = F.transform(hashes, lambda h: top(h).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
 
-    def word(x: Column) -> Column:
-        h = F.xxhash64(x)
-        return F.shiftleft(F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+    def windows(k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(k) - (SHINGLE - 1), F.lit(1))), lambda i: F.slice(k, i, SHINGLE))
 
-    marked = F.transform(words(line), word)
-
-    def token(rarest: Column, part: Column) -> Column:
-        return rarest.bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(part).bitwiseAND(F.lit(_LOW)))
-
-    def over(k: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(1), F.size(k) - (SHINGLE - 1)),
-            lambda i: token(F.least(*[F.get(k, i + (j - 1)) for j in range(SHINGLE)]), F.slice(k, i, SHINGLE)),
-        )
-        return F.sort_array(F.array_distinct(F.when(F.size(k) >= SHINGLE, windows).otherwise(F.array(token(F.array_min(k), k)))))
-
-    return F.element_at(F.transform(F.array(marked), over), 1)
+    shingles = F.element_at(F.transform(F.array(marked), windows), 1)
+    return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.array_min(s).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(s).bitwiseAND(F.lit(_LOW))))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -88,47 +80,61 @@ def candidates(postings: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text."""
-    classes = rarity(docs)
-    named = _lines(docs).withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit("second"), "line")})
-    slim = named.select("doc_id", "hash", "pos", "id", "id2")
-    firsts = cut(slim.groupBy("id", "id2").agg(F.min(_order()).alias("first")))
+def _postings(docs: DataFrame, firsts: DataFrame, classes: Column) -> DataFrame:
+    """token, id, n, i of the prefixes, of tokens that more than one line has.
 
-    tokened = _lines(docs).select(F.xxhash64("line").alias("id"), tokens(F.col("line"), classes).alias("t"))
+    Lines that make up over 1 / COMMON of all lines, COMMON at most, speak through their first occurrence
+    only, so no token is hot by copies; the rest of the copies meet in their token's partition.
+    """
+    total = firsts.agg(F.sum("times")).first()[0] or 0
+    common = firsts.filter(F.col("times") > total / COMMON).select(F.col("id").alias("common"), "first")
+    heard = _lines(docs).withColumn("id", F.xxhash64("line")).join(F.broadcast(common), F.col("id") == F.col("common"), "left")
+    heard = heard.filter(F.col("common").isNull() | (_order() == F.col("first")))
+    tokened = heard.select("id", tokens(F.col("line"), classes).alias("t"))
     size = F.size("t")
     prefix = F.slice("t", F.lit(1), size - F.floor((NEED * size + OF - 1) / OF).cast("int") + 1)
-    postings = tokened.select("id", size.alias("n"), F.posexplode(prefix).alias("i", "token")).groupBy("token", "id").agg(F.first("n").alias("n"), F.first("i").alias("i"))
-    pairs = cut(candidates(postings))
+    dealt = tokened.select("id", size.alias("n"), F.posexplode(prefix).alias("i", "token")).repartition("token")
+    one = Window.partitionBy("token")
+    shared = dealt.withColumns({"low": F.min("id").over(one), "high": F.max("id").over(one)}).filter("low <> high")
+    return shared.groupBy("token", "id").agg(F.first("n").alias("n"), F.first("i").alias("i"))
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text."""
+    classes = rarity(docs)
+    slim = _lines(docs).select("doc_id", "hash", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("id2"))
+    firsts = cut(slim.groupBy("id", "id2").agg(F.min(_order()).alias("first"), F.count("*").alias("times")))
+    pairs = cut(candidates(cut(_postings(docs, firsts, classes))))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     where = firsts.join(ids, "id", "left_semi").select("id", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"))
     asked = where.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("id", "first")).alias("asked")).withColumnsRenamed({"doc_id": "d", "hash": "h"})
     found = docs.join(asked, docs["doc_id"].eqNullSafe(asked["d"]) & (docs["hash"] == asked["h"])).select(F.split("text", "\n").alias("l"), F.explode("asked").alias("q"))
-    fetched = found.select(F.col("q.id").alias("id"), F.col("q.first").alias("first"), tokens(F.get("l", F.col("q.first.pos")), classes).alias("t")).dropDuplicates(["id"])
-    fetched = cut(fetched)
+    fetched = found.select(F.col("q.id").alias("id"), F.col("q.first").alias("first"), tokens(F.get("l", F.col("q.first.pos")), classes).alias("t"))
+    fetched = cut(fetched.dropDuplicates(["id"]))
     side = lambda s: fetched.select(F.col("id").alias(s), F.col("first").alias(f"{s}_first"), F.col("t").alias(f"{s}_t"))
     overlap = F.size(F.array_intersect("a_t", "b_t"))
     same = pairs.join(side("a"), "a").join(side("b"), "b").filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t")))
     late = same.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("late", F.lit(True))
 
-    judged = firsts.join(late, "id", "left").select("id", "id2", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    judged = firsts.join(late, "id", "left").select("id", "id2", "first", F.coalesce("late", F.lit(False)).alias("late"), "times").filter("late OR times > 1")
     gone = slim.join(judged, ["id", "id2"]).filter(F.col("late") | (_order() != F.col("first")))
     return gone.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the matching lines taken out of ``text``, and n_lines, n_removed (int)."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), *[F.col(c).alias(f"__{c}") for c in docs.columns if c not in (key, text)])
     gone = removals(slim).withColumnsRenamed({"doc_id": "__d", "hash": "__h", "removed": "__gone"})
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["__d"]) & (F.xxhash64(docs[text]) == gone["__h"]), "left")
+    joined = slim.join(gone, slim["doc_id"].eqNullSafe(gone["__d"]) & (slim["hash"] == gone["__h"]), "left")
+    joined = joined.select(F.col("doc_id").alias(key), F.col("text").alias(text), *[F.col(f"__{c}").alias(c) for c in docs.columns if c not in (key, text, "n_lines", "n_removed")], "__gone")
     lines = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     left = F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), 1)
     return (
         joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0))})
         .withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
-        .drop("__d", "__h", "__gone")
+        .drop("__gone")
     )
 
 
