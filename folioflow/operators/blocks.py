@@ -24,6 +24,10 @@ def text_spans(spans: Column) -> Column:
 
 def fold_spans(spans: Column) -> Column:
     """struct(max_size, bold, italic, mono, text) of a run of spans."""
+    return let(spans, _fold)
+
+
+def _fold(spans: Column) -> Column:
     font = lambda s: F.lower(s["font"])
     flag = lambda s, bit: s["flags"].bitwiseAND(bit) != 0
     return F.struct(
@@ -87,11 +91,11 @@ def page_count(rows: DataFrame) -> DataFrame:
 
 def classify(raw: DataFrame) -> DataFrame:
     """book_id, page_num, block_no, kind, text, bbox: text blocks classified, images as such, empty runs gone."""
-    with_runs = raw.withColumn("run", text_spans(F.col("spans"))).filter((F.col("block_type") == 1) | (F.size("run") > 0))
-    folded = with_runs.withColumn("f", F.when(F.col("block_type") == 0, fold_spans(F.col("run"))))
-    return folded.select(
-        "book_id", "page_num", "block_no", F.when(F.col("block_type") == 1, "image").otherwise(kind_of(F.col("f"))).alias("kind"), F.col("f.text").alias("text"), "bbox"
-    )
+    readable = F.exists("spans", lambda s: F.length(strip(s["text"])) > 0)
+    image = F.col("block_type") == 1
+    judged = let(fold_spans(text_spans(F.col("spans"))), lambda f: F.struct(_kind(f).alias("kind"), f["text"].alias("text")))
+    rows = raw.filter(image | readable).withColumn("f", F.when(~image, judged))
+    return rows.select("book_id", "page_num", "block_no", F.when(image, "image").otherwise(F.col("f.kind")).alias("kind"), F.col("f.text").alias("text"), "bbox")
 
 
 def extract(raw: DataFrame, images: bool = True, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -32,8 +32,10 @@ def identity(rows: DataFrame, prompt: str, text: str, out: str) -> DataFrame:
 
 def glossary_text(text: Column) -> Column:
     """Whole English terms replaced by the glossary's, the longest that fits, in one pass (an extension)."""
-    ordered = sorted(GLOSSARY, key=lambda t: (-len(t), t))
-    pattern = rf"(?iu)(?<!{NAME})(?:{'|'.join(ordered)})(?!{NAME})"
+    by_letter: dict[str, list[str]] = {}
+    for term in sorted(GLOSSARY, key=lambda t: (-len(t), t)):
+        by_letter.setdefault(term[0], []).append(term[1:])
+    pattern = rf"(?iu)(?<!{NAME})(?:{'|'.join(f'{a}(?:{"|".join(rest)})' for a, rest in by_letter.items())})(?!{NAME})"
     table = F.create_map(*[F.lit(x) for pair in GLOSSARY.items() for x in pair])
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
