@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The most bytes of a table that is broadcast after its size was measured.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its measured size allows it; as it is, for a join
+    by shuffle, if not."""
+    total = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
