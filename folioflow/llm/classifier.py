@@ -89,7 +89,9 @@ class Model:
         self.vectors = self._project(weighted)
 
     def _weigh(self, tf: np.ndarray) -> np.ndarray:
-        x = np.log1p(tf.astype(np.float32)) * self.idf
+        x = tf.astype(np.float32)
+        np.log1p(x, out=x)
+        x *= self.idf
         # grams, shapes and the share of repeated words weigh the same, whatever their number
         for part in (slice(0, GRAMS), slice(GRAMS, GRAMS + SHAPES)):
             x[:, part] /= np.maximum(np.linalg.norm(x[:, part], axis=1, keepdims=True), 1e-9)
