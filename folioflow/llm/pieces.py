@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SPACE = "▁"
 WORDS = f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
 FREQUENT = 100_000
 LONGEST = 48
-CACHE = 200_000  # words that a worker remembers beside the dictionary
+CACHE = 400_000  # words that a worker remembers beside the dictionary
 _INF = 1e300
 
 
@@ -61,6 +62,7 @@ class Vocabulary:
                 self.pieces[piece] = (model.get_score(i), i)
                 self.texts.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.pieces))
+        self.scores = {p: s for p, (s, _) in self.pieces.items()}
         if any(not re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in self.pieces):
             raise ValueError("a piece reaches over the start of a word")
 
@@ -73,19 +75,22 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """The ids of a word: the best-scored adjacent pair merges first, the leftmost of equals."""
-        pieces = self.pieces
         if len(word) > LONGEST:
             return self._merge_long(word)
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = -_INF, -1
-            for i in range(len(parts) - 1):
-                found = pieces.get(parts[i] + parts[i + 1])
-                if found and found[0] > best:
-                    best, at = found[0], i
-            if at < 0:
+        score, parts = self.scores.get, list(word)
+        pairs = [score(a + b, -_INF) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == -_INF:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = pairs.index(best)
+            joined = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [joined]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(joined + parts[at + 1], -_INF)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + joined, -_INF)
         return self.ids(parts)
 
     def _merge_long(self, word: str) -> list[int]:
@@ -223,7 +228,7 @@ class _Encoder(dict):
         if found is None:
             if len(self.own) >= CACHE:
                 self.own.clear()
-            found = np.array(self.vocabulary.merge(word), "<i4").tobytes()
+            found = array("i", self.vocabulary.merge(word)).tobytes()
             if len(word) <= LONGEST:
                 self.own[word] = found
         return found
@@ -279,9 +284,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids") -
 
     @F.arrow_udf(StringType())
     def spell(lists: pa.Array) -> pa.Array:
-        out = []
-        for x in lists.to_pylist():
-            spelled = b"".join([texts[i] for i in x or ()]).decode("utf-8", "replace")
+        flat, ends, out = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist(), []
+        for start, end in zip([0, *ends], ends, strict=False):
+            spelled = b"".join(map(texts.__getitem__, flat[start:end].tolist())).decode("utf-8", "replace")
             out.append(spelled[1:] if spelled[:1] == " " else spelled)
         return pa.array(out, pa.string())
 
