@@ -1,18 +1,19 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-A page is a stream of tags and texts. Repeats are folded (``(<li>T</li>)+``), then the streams of a
-host's sample pages are aligned one after another with the wrapper so far: what both have stays, what
-one lacks becomes optional, texts that differ become slots. The wrapper is thus a union-free regular
-expression over tags, slots, constants, optional and repeated groups. Each of its slots is judged
-once: main text or not, by the containers it stands in, by their class and id words and, where a host
-has no article element, by being constant over the host's pages. To extract, a page's folded stream
-is aligned with its host's wrapper and every text takes its slot's verdict; a text that the wrapper
-doesn't know is judged by its own containers. Blocks are joined by newlines in page order.
-
-Scale: a wrapper is learned from at most ``SAMPLE`` pages of a host (the lowest by hash; a rank limit,
-applied before the shuffle), so a host with a third of all pages costs no more than any other to
-learn. Wrappers join the pages by host as a plain equi-join: broadcast if the table was measured to be
-small, otherwise a sort-merge join whose hot hosts Spark splits. Pages are read whole.
+A page is a stream of tags and texts. Repeats are folded (``(<li>T</li>)+``); pages of a host with equal
+folded streams are one layout. A host's distinct layouts are aligned one after another with the wrapper so
+far: what both have stays, what one lacks becomes optional, texts that differ become slots. The wrapper is
+thus a union-free regular expression over tags, slots, constants, optional and repeated groups, learned from
+all pages of the host. To extract, a page's folded stream is aligned with its host's wrapper. On a page with
+an article element the containers of a text, their class and id words decide; on others a text goes too if
+it is constant on ``SEEN`` distinct pages at least: in its slot over the host's pages, or in its containers
+over the pages of a layout. Blocks are joined by newlines in page order.
+
+Scale: every page is folded where it stands and counted with those of its layout; only keys, hashes of
+constant texts and ``SEEN`` page hashes are shuffled, aggregated map-side by host, layout and item, so a host
+with a third of all pages is no hot spot. Layouts are merged in a tree, ``FAN`` at once. Wrappers join the
+pages by host as a plain equi-join: broadcast if the table was measured to be small, otherwise a sort-merge
+join whose hot hosts Spark splits. Pages are read whole.
 
 Defined cases: null or empty html gives empty text; a page without a readable host uses the wrapper of
 the empty host; cut-off tags, comments and scripts end with the page; unknown end tags are ignored;
@@ -28,13 +29,16 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from folioflow.llm.common import broadcast_if_small, cut, small_batches, table
 
-SAMPLE = 6
+SEEN = 3  # pages a text must be constant on
+HELD = 2000  # layouts counted together before they are passed on
+FAN = 64  # wrappers merged at once
 LONGEST_GROUP = 12  # items of a repeated group
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -140,40 +144,96 @@ def _aligned(a: list[str], b: list[str]):
     return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
-def infer(pages: list[str]) -> str:
-    """The wrapper of a host's pages as JSON: items of key, optional, repeated, constant text or null, main."""
-    wrapper: list[dict] = []
-    for number, page in enumerate(pages):
-        stream = tokens(page)
-        around, article = contexts(stream), has_article(stream)
-        new = []
-        for key, places in fold([k for k, _ in stream]):
-            texts = {" ".join(stream[i][1].split()) for i in places} if key == "T" else {""}
-            new.append({
-                "key": key, "opt": number > 0, "plus": len(places) > 1, "const": texts.pop() if len(texts) == 1 else None, "seen": 1,
-                "side": key == "T" and not any(verdict(around[i], False, article) for i in places),
-            })
-        if not number:
-            wrapper = new
-            continue
+def shape(page: str) -> list[tuple[str, bool, int | None]]:
+    """The folded items of a page: key, repeated, hash of the text if the item has a single one."""
+    stream = tokens(page)
+    out = []
+    for key, places in fold([k for k, _ in stream]):
+        texts = {" ".join(stream[i][1].split()) for i in places} if key == "T" else ()
+        out.append((key, len(places) > 1, text_hash(texts.pop()) if len(texts) == 1 else None))
+    return out
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def places_of(keys: list[str]) -> list[str]:
+    """The containers of each folded item."""
+    return ["\n".join(x) for x in contexts([(k, "") for k in keys])]
+
+
+def placed_hash(place: str, text: int) -> int:
+    return text_hash(f"{place}\n{text}")
+
+
+def _constants(wrapper: list[dict]) -> list[dict]:
+    """``wrapper`` with the texts added that all pages of a slot have, ``SEEN`` pages at least."""
+    for x in wrapper:
+        if x["const"] is not None and len(x["pages"]) >= SEEN and x["const"] not in x["known"]:
+            x["known"] = sorted([*x["known"], x["const"]])
+    return wrapper
+
+
+def merge(wrappers: list[list[dict]]) -> list[dict]:
+    """One wrapper of many, aligned one after another in the given order.
+
+    An item has its key, optional, repeated, the one text of all its pages or null, the ``SEEN`` smallest
+    of its pages and the texts known to be constant, over the host or over the pages of one layout.
+    """
+    wrapper = wrappers[0]
+    for new in wrappers[1:]:
         merged: list[dict] = []
         for what, a0, a1, b0, b1 in _aligned([x["key"] for x in wrapper], [x["key"] for x in new]):
             if what == "equal":
                 for x, y in zip(wrapper[a0:a1], new[b0:b1], strict=True):
-                    same = x["const"] if x["const"] == y["const"] else None
-                    merged.append(x | {"plus": x["plus"] or y["plus"], "const": same, "seen": x["seen"] + 1, "side": x["side"] and y["side"]})
+                    merged.append({
+                        "key": x["key"], "opt": x["opt"] or y["opt"], "plus": x["plus"] or y["plus"], "const": x["const"] if x["const"] == y["const"] else None,
+                        "pages": sorted({*x["pages"], *y["pages"]})[:SEEN], "known": sorted({*x["known"], *y["known"]}),
+                    })
             else:  # each side's rest becomes an optional group
-                merged += [x | {"opt": True} for x in wrapper[a0:a1]] + new[b0:b1]
+                merged += [x | {"opt": True} for x in wrapper[a0:a1] + new[b0:b1]]
         wrapper = merged
-    for x in wrapper:
-        x["constant"] = x["key"] == "T" and x["const"] is not None and x["seen"] >= 3
-    return json.dumps([[x["key"], x["opt"], x["plus"], x["const"] if x["constant"] else None, not x["side"]] for x in wrapper], ensure_ascii=False)
+    return wrapper
+
+
+def _layout(items: list[tuple], pages: list[int]) -> list[dict]:
+    """The wrapper of the pages of one layout; items: key, repeated, the one text or null."""
+    found = _constants([{"key": k, "opt": False, "plus": p, "const": c, "pages": pages, "known": []} for k, p, c in items])
+    for x, place in zip(found, places_of([k for k, _, _ in items]), strict=True):
+        x["known"] += [placed_hash(place, t) for t in x["known"]]
+    return found
+
+
+def infer(pages: list[str]) -> str:
+    """The wrapper of a host's pages as JSON: what ``wrappers`` learns, in one process."""
+    held: dict = {}
+    for page in pages:
+        _add(held, "", page)
+    layouts = [_layout(list(zip(keys, plus, const, strict=True)), sorted(seen)) for (_, keys), (plus, const, seen) in sorted(held.items())]
+    return _written(merge(layouts)) if layouts else "[]"
+
+
+def _written(wrapper: list[dict]) -> str:
+    return json.dumps([[x["key"], x["opt"], x["plus"], x["known"]] for x in _constants(wrapper)], ensure_ascii=False)
+
+
+def _add(held: dict, host: str, page: str) -> None:
+    """Count a page among those of its host and layout: repeated, constant texts, the smallest pages."""
+    found = shape(page)
+    seen = {text_hash(page)}
+    key = host, tuple(k for k, _, _ in found)
+    if key in held:
+        plus, const, before = held[key]
+        found = [(k, p or a, c if c == b else None) for (k, p, c), a, b in zip(found, plus, const, strict=True)]
+        seen = set(sorted(seen | before)[:SEEN])
+    held[key] = [p for _, p, _ in found], [c for _, _, c in found], seen
 
 
 @lru_cache(4096)
-def _parsed(wrapper: str) -> tuple[list, list[str]]:
+def _parsed(wrapper: str) -> tuple[list, list[str], set[int]]:
     items = json.loads(wrapper)
-    return items, [x[0] for x in items]
+    return items, [x[0] for x in items], {t for x in items for t in x[3]}
 
 
 @lru_cache(8192)
@@ -192,15 +252,21 @@ def extract(page: str | None, wrapper: str | None) -> str:
         return ""
     stream = tokens(page)
     around, article = contexts(stream), has_article(stream)
-    items = _parsed(wrapper or "[]")[0]
+    items, _, known = _parsed(wrapper or "[]")
     folded = fold([k for k, _ in stream])
-    match = _matched(wrapper or "[]", tuple(k for k, _ in folded))
+    keys = [k for k, _ in folded]
+    learned = bool(known) and not article
+    match = _matched(wrapper, tuple(keys)) if learned else [-1] * len(keys)
+    containers = places_of(keys) if learned else keys
     main = set()
-    for (key, places), slot in zip(folded, match, strict=True):
-        if key != "T" or (slot >= 0 and not items[slot][4] and article):
-            continue  # a slot that is beside the article on every sample page
+    for (key, places), slot, place in zip(folded, match, containers, strict=True):
+        if key != "T":
+            continue
         for i in places:
-            constant = slot >= 0 and items[slot][3] is not None and items[slot][3] == " ".join(stream[i][1].split())
+            constant = False
+            if learned:
+                text = text_hash(" ".join(stream[i][1].split()))
+                constant = (slot >= 0 and text in items[slot][3]) or placed_hash(place, text) in known
             if verdict(around[i], constant, article):
                 main.add(i)
     blocks, now = [], []
@@ -226,19 +292,72 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _infer_group(pages: pa.Table) -> pa.Table:
-    pages = pages.sort_by("__h")
-    return pa.table({"__host": pages["__host"].slice(0, 1), "__wrapper": pa.array([infer(pages["__html"].to_pylist())])})
+_ITEMS = pa.schema([("__host", pa.string()), ("layout", pa.int64()), ("i", pa.int32()), ("key", pa.string()), ("plus", pa.bool_()), ("const", pa.int64()), ("page", pa.int64())])
+
+
+def _flat(held: dict) -> pa.RecordBatch:
+    rows = []
+    for (host, keys), (plus, const, seen) in held.items():
+        layout = text_hash("\n".join(keys))
+        rows += [(host, layout, -1, None, None, None, page) for page in seen]
+        rows += [(host, layout, i, *x, None) for i, x in enumerate(zip(keys, plus, const, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ITEMS, strict=True)], schema=_ITEMS)
+
+
+def _shapes(batches):
+    """The items of each host's layouts, counted together over as many pages as have ``HELD`` layouts."""
+    held: dict = {}
+    for batch in batches:
+        for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            _add(held, host, page)
+            if len(held) >= HELD:
+                yield _flat(held)
+                held = {}
+    if held:
+        yield _flat(held)
+
 
+def _merge_layouts(rows: pa.Table) -> list[dict]:
+    return merge([json.loads(w) for w in rows.sort_by("layout")["wrapper"].to_pylist()])
 
-def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """__host and __wrapper of every host."""
-    slim = pages.select(host_of(F.col(url)).alias("__host"), F.xxhash64(html).alias("__h"), F.col(html).alias("__html")).filter("__html IS NOT NULL")
-    keys = slim.select("__host", "__h").distinct()
-    chosen = keys.withColumn("__n", F.row_number().over(Window.partitionBy("__host").orderBy("__h"))).filter(F.col("__n") <= sample).drop("__n")
-    chosen = broadcast_if_small(cut(chosen), F.length("__host") + 40)
-    texts = slim.join(chosen, ["__host", "__h"]).groupBy("__host", "__h").agg(F.min("__html").alias("__html"))
-    return texts.groupBy("__host").applyInArrow(_infer_group, "__host string, __wrapper string")
+
+def _merge_group(rows: pa.Table) -> pa.Table:
+    first = rows.sort_by("layout").slice(0, 1)
+    return pa.table({"__host": first["__host"], "layout": first["layout"], "wrapper": pa.array([json.dumps(_merge_layouts(rows))])})
+
+
+def _finish_group(rows: pa.Table) -> pa.Table:
+    return pa.table({"__host": rows["__host"].slice(0, 1), "__wrapper": pa.array([_written(_merge_layouts(rows))])})
+
+
+@F.arrow_udf(StringType())
+def _layouts(items: pa.Array, pages: pa.Array) -> pa.Array:
+    return pa.array([json.dumps(_layout([(x["key"], x["plus"], x["const"]) for x in xs], p)) for xs, p in zip(items.to_pylist(), pages.to_pylist(), strict=True)], pa.string())
+
+
+def layouts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """__host, layout and wrapper of every distinct folded stream of every host, over all pages."""
+    slim = pages.select(host_of(F.col(url)).alias("__host"), F.col(html).alias("__html")).filter("__html IS NOT NULL")
+    flat = slim.mapInArrow(_shapes, "__host string, layout long, i int, key string, plus boolean, const long, page long")
+    low, high = F.min("const"), F.max("const")
+    one = F.when((F.count("const") == F.count("*")) & (low == high), low).alias("const")
+    counted = flat.groupBy("__host", "layout", "i").agg(F.first("key").alias("key"), F.max("plus").alias("plus"), one, F.collect_set("page").alias("pages"))
+    item = F.when(F.col("i") >= 0, F.struct("i", "key", "plus", "const"))  # lists leave nulls out
+    found = counted.groupBy("__host", "layout").agg(F.array_sort(F.collect_list(item)).alias("items"), F.slice(F.array_sort(F.flatten(F.collect_list("pages"))), 1, SEEN).alias("pages"))
+    return found.select("__host", "layout", _layouts(F.col("items"), F.col("pages")).alias("wrapper"))
+
+
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html", fan: int = FAN) -> DataFrame:
+    """__host and __wrapper of every host, learned from all its pages."""
+    found = cut(layouts(pages, url, html))
+    while True:
+        sizes = found.groupBy("__host").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= fan:
+            return found.groupBy("__host").applyInArrow(_finish_group, "__host string, __wrapper string")
+        # in each round a host's wrappers fall to half at most, in groups of about half of ``fan``
+        dealt = found.join(broadcast_if_small(sizes, F.length("__host") + 16), "__host")
+        part = F.when(F.col("n") > fan, F.pmod(F.xxhash64("layout"), F.ceil(2 * F.col("n") / fan))).otherwise(F.xxhash64("layout")).alias("part")
+        found = cut(dealt.select("__host", "layout", "wrapper", part).groupBy("__host", "part").applyInArrow(_merge_group, "__host string, layout long, wrapper string"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from folioflow.llm import html_main as h
@@ -46,3 +47,33 @@ def test_folding_and_alignment():
 
 def test_empty_table(spark):
     assert h.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def layouts_without_article():
+    rows = []
+    for k in range(12):
+        for i in range(5):
+            head = f"<div class=top{k % 4}>notice {k}</div>"
+            body = f"<h{k % 3 + 1}>title {k} {i}</h{k % 3 + 1}>" + f"<div><p>story {k} {i}</p><blockquote>quote {k} {i}</blockquote></div>"
+            foot = f"<hr><dl><dt>legal {k}</dt></dl>" if k > 5 else f"<ul><li>legal {k}</li></ul>"
+            want = [f"title {k} {i}", f"story {k} {i}", f"quote {k} {i}"]
+            rows.append((len(rows), "http://one.example.com/", f"<body>{head}{body}{foot}</body>", "\n".join(want)))
+    return rows
+
+
+def test_every_layout_of_a_host_is_learned(spark):
+    rows = layouts_without_article()
+    pages = spark.createDataFrame([r[:3] for r in rows] * 2, "page_id long, url string, html string").repartition(7)
+    got = {(r.page_id, r.main_text) for r in h.main_text(pages).collect()}
+    assert got == {(r[0], r[3]) for r in rows}
+    assert h.layouts(pages).count() == len({tuple(k for k, _, _ in h.shape(r[2])) for r in rows}) == 12
+
+
+def test_layouts_in_rounds_and_copies(spark):
+    rows = layouts_without_article()
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    for fan in (2, 3, 64):
+        wrapper = h.wrappers(pages, fan=fan).first()["__wrapper"]
+        assert {t for x in json.loads(wrapper) for t in x[3]} >= {h.text_hash(f"{w} {k}") for w in ("notice", "legal") for k in range(12)}
+    copies = spark.createDataFrame([(i, None, "<p>the same page</p>") for i in range(9)], "page_id long, url string, html string")
+    assert {r.main_text for r in h.main_text(copies).collect()} == {"the same page"}
