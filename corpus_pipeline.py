@@ -34,8 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.deduplicate(docs).select(*docs.columns)
+    """One document of each group of near duplicates: fingerprints within 2 bits as in op5, or a Jaccard
+    similarity of 0.8 of the 5-word shingles."""
+    return simhash.deduplicate(docs, similar=True).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,8 +99,8 @@ def _postings(docs: DataFrame, firsts: DataFrame, classes: Column) -> DataFrame:
     return shared.groupBy("token", "id").agg(F.first("n").alias("n"), F.first("i").alias("i"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text."""
+def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, classes of equal lines, pairs a and b of classes that match) of docs: doc_id, hash, text."""
     classes = rarity(docs)
     slim = _lines(docs).select("doc_id", "hash", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("id2"))
     firsts = cut(slim.groupBy("id", "id2").agg(F.min(_order()).alias("first"), F.count("*").alias("times")))
@@ -115,6 +115,12 @@ def removals(docs: DataFrame) -> DataFrame:
     side = lambda s: fetched.select(F.col("id").alias(s), F.col("first").alias(f"{s}_first"), F.col("t").alias(f"{s}_t"))
     overlap = F.size(F.array_intersect("a_t", "b_t"))
     same = pairs.join(side("a"), "a").join(side("b"), "b").filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t")))
+    return slim, firsts, same
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text."""
+    slim, firsts, same = matches(docs)
     late = same.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("late", F.lit(True))
 
     judged = firsts.join(late, "id", "left").select("id", "id2", "first", F.coalesce("late", F.lit(False)).alias("late"), "times").filter("late OR times > 1")

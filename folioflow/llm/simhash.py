@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from folioflow.llm import lines
 from folioflow.llm.common import cut, small_batches, table
 from folioflow.llm.graph import components
 
@@ -74,21 +75,38 @@ def links(prints: DataFrame) -> DataFrame:
     return stars.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """a, b: links among fingerprints of texts whose 5-word shingles have a Jaccard similarity of 0.8.
+
+    Exact, by the join of ``lines``: a text is one line, without ASCII capitals as for its fingerprint.
+    """
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    line = F.translate(F.col(text), capitals + "\n", capitals.lower() + " ")
+    flat = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), line.alias("text")).filter(F.col("text").isNotNull())
+    pairs = lines.matches(flat)[2].select("a", "b")
+    prints = cut(flat.select(F.xxhash64("text").alias("id"), fingerprint(F.col("text")).alias("fp")).groupBy("id").agg(F.first("fp").alias("fp")))
+    side = lambda s: prints.select(F.col("id").alias(s), F.col("fp").alias(f"{s}_fp"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter("a_fp <> b_fp").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): key and fp of every row of ``docs``; fp, root and component (the smallest key
-    of the group) of every distinct fingerprint."""
+    of the group) of every distinct fingerprint. ``similar`` also links texts by their 5-word shingles."""
     small_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    linked = components(links(prints))
+    linked = links(prints)
+    if similar:
+        linked = linked.unionByName(similar_links(docs, text, key))
+    linked = components(linked)
     placed = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
     return rows, placed.join(smallest, "root").select("fp", "root", "component")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: bool = False) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest key, then of the smallest fingerprint."""
-    rows, groups = near_duplicates(docs, text, key)
+    rows, groups = near_duplicates(docs, text, key, similar)
     kept = rows.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), F.col("key").alias("key"), "fp")).alias("w"))
     winners = kept.select(F.col("w.key").alias("__win_key"), F.col("w.fp").alias("__win_fp"))
     marked = docs.withColumn("__own_fp", fingerprint(F.col(text)))

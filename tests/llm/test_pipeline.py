@@ -79,6 +79,30 @@ def test_each_stage_on_its_own_input(spark, sf_dir, tmp_path):
     assert len(five) == four.count() and all(r.piece_ids == (library.encode(texts[r.doc_id]) if texts[r.doc_id] else []) and r.round_trip for r in five)
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_dedup_finds_copies_with_changed_words(spark, tmp_path):
+    rng = random.Random(5)
+    docs = []
+    for _ in range(30):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(3, 300))]
+        for _ in range(rng.randint(1, 4)):
+            docs.append((len(docs), rng.choice([" ", "\n"]).join(x.upper() if rng.random() < 0.1 else x for x in w)))
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = "changed"
+    docs += [(None, docs[0][1]), (500, None), (501, ""), (502, " \n")]
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/d")
+    keyed = [(10**9 if i is None else i, (plain_print(t), shingles(t))) for i, t in docs]
+    close = lambda a, b: (a[0] ^ b[0]).bit_count() <= 2
+    alike = lambda a, b: close(a, b) or 5 * len(a[1] & b[1]) >= 4 * len(a[1] | b[1]) > 0
+    want = set(plain_components(keyed, alike))
+    got = [10**9 if r.doc_id is None else r.doc_id for r in pipeline.near_dedup(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(set(plain_components(keyed, close))) - 5
+
+
 def test_run_and_empty_tables(spark, sf_dir, tmp_path):
     whole = pipeline.run(spark, sf_dir)
     assert whole.agg(F.sum("n_pieces")).first()[0] > 1000
