@@ -1,7 +1,7 @@
 """The transformation of chunks: code out, prompt, backend, cleanup, guard, terms, code back, images.
 
-A context-free backend works on all chunks at once; with context a book's chunks run in order, each
-prompt holding the end of the previous answer, one task a book. Texts without prose never reach the
+A context-free backend works on all chunks at once; with context a book's chunks run in order, one task
+a book, each given the previous answer and without the steps around the call. Texts without prose never reach the
 backend. Deliberate differences from a literal reading of the steps: code stays out of both passes,
 English forms are fixed before code comes back, and the context is the answer without its images.
 """
@@ -24,7 +24,7 @@ _P = "__tr_"
 def transform_chunks(chunks: DataFrame, backend: Backend = identity, fix: Backend | None = None, faithful: bool = False) -> DataFrame:
     """``chunks`` (..., text, images) with translated and flag (the guard's reason, of the answer that was taken).
 
-    An answer that the guard flags is asked for once more; the second is taken whatever the guard says.
+    An answer that the guard flags is taken and flagged; a second attempt is missing.
     ``faithful`` fixes English forms after the code came back, code included.
     """
     whole = [*chunks.columns]
