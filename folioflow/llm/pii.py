@@ -25,6 +25,14 @@ CONTEXT = 40  # code points before a span that are searched for context words
 BASE = ("email", "ip", "card", "phone")
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+#: The length of an account number without spaces, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
 #: kind: (guard that any text with a match fulfils, pattern, pattern as the contract has it, score without context, context words)
 KINDS = {
     "email": (
@@ -44,7 +52,7 @@ KINDS = {
         r"\+[0-9][\x20().0-9-]+[0-9]",
         r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "tel|phone|call|mobile|fax"),
     "iban": (
-        r"[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+        r"[A-Z]{2}[0-9]{2}", _IBAN + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
         r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0.6, "iban|account|bank|konto|cuenta|compte"),
     "ssn": (
         r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",

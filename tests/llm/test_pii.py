@@ -62,3 +62,11 @@ def test_checksums_and_context_decide_the_added_kinds(spark):
 
 def test_empty_table(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_account_number_ends_where_its_country_says(spark):
+    numbers = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO9386011117947"]
+    texts = [f"IBAN {n}{after}" for n in numbers for after in ("", " BIC COBADEFFXXX", " 2024", ", BIC")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.text for s in r.pii if s.kind == "iban"] for r in pii.find_pii(docs).collect()}
+    assert got == {i: [numbers[i // 4]] for i in range(len(texts))}
