@@ -4,20 +4,29 @@ A line's tokens are its distinct 5-word shingles (a shorter line is one shingle)
 Jaccard similarity of 0.8. The tokens of every line are ordered by rarity: first by the count of their
 rarest word, counted over all texts in ``BUCKETS`` hash buckets, then by their hash. Two matching lines
 share a token among the first n - ceil(0.8 n) + 1 of each, and at their first common token what is left
-must still reach the needed overlap; lengths must agree within 0.8. What passes is verified on the whole
-token sets. A line goes if it matches an earlier one, in the order of doc_id, text hash and line number.
+must still reach the needed overlap; lengths must agree within 0.8. Beside that each line has a parity
+signature (bit k: whether an odd number of its tokens fall on k), whose differing bits cannot outnumber
+the tokens that only one of the lines has. What passes is verified on the whole token sets. A line goes
+if it matches an earlier one, in the order of doc_id, text hash and line number.
+
+Only the existence of an earlier match is asked for, never all pairs. First every line meets the earliest
+line of each of its tokens: one candidate a posting, whatever the size of the group. Lines that match
+there are settled: they stay as witnesses but ask no more. Only what is left meets all earlier lines.
 
 Scale: equal lines are one class throughout, kept by its first occurrence and counted map-side; a line
-that is over 1 / COMMON of all speaks only once, so a line of a third of all documents is one row of the
-join. Only prefixes are shuffled, once, never all shingles, and tokens of one line only go no further;
-frequent shingles stand behind the prefixes because their words' counts are high. Classes that become
-candidates fetch their text by a join on the document, and so does the result. The rarity table has BUCKETS rows and that of common lines COMMON at most, at any size.
+that is over 1 / COMMON of the repeated ones speaks only once, so a line of a third of all documents is
+one row of the join. Only prefixes are shuffled, once, never all shingles, and tokens of one line only go
+no further; frequent shingles stand behind the prefixes because their words' counts are high. Candidates
+fetch their texts by a join on the document. Tables of line ids and of removed lines are broadcast if they
+were measured to be small; beyond that the joins go by shuffle. The rarity table has BUCKETS rows and that
+of common lines COMMON at most, at any size.
 
-Native: DataFrame functions only. Tokens are 63-bit: 7 bits of rarity, 56 of hash.
+Native: DataFrame functions only. Tokens are 63-bit: 7 bits of rarity, 56 of hash. Lines are one class if
+their 64-bit hashes agree and they share a token, or if 128 bits agree.
 
 Defined cases: lines without a word are never removed; null texts stay null; rows that repeat doc_id and
 text are one document listed again and keep the same lines; a null doc_id comes last; an empty table
-gives no rows; extra columns are carried.
+gives no rows; extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +37,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, cut, table, words
+from folioflow.llm.common import WORD, broadcast_if_small, cut, table, words
+from folioflow.llm.graph import components
 
 SHINGLE = 5
 NEED, OF = 4, 5  # the similarity as a fraction
@@ -36,6 +46,7 @@ BUCKETS = 16384
 COMMON = 20000
 _TOP = 0x7F << 56
 _LOW = (1 << 56) - 1
+_LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
@@ -52,95 +63,156 @@ def tokens(line: Column, classes: Column) -> Column:
     """The distinct tokens of a line, the rarest first."""
     hashes = F.transform(words(line), lambda x: F.xxhash64(x))
     top = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
-    marked = F.transform(hashes, lambda h: top(h).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
+    marked = F.transform(hashes, lambda h: F.coalesce(top(h), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
 
     def windows(k: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(k) - (SHINGLE - 1), F.lit(1))), lambda i: F.slice(k, i, SHINGLE))
+        def token(x: Column, i: Column) -> Column:
+            shingle = [x, *[F.get(k, i + j) for j in range(1, SHINGLE)]]  # nulls beyond a short line's end count for nothing
+            return F.least(*shingle).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*shingle).bitwiseAND(F.lit(_LOW)))
+
+        return F.transform(F.slice(k, F.lit(1), F.greatest(F.size(k) - (SHINGLE - 1), F.lit(1))), token)
+
+    return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(marked), windows), 1)))
+
 
-    shingles = F.element_at(F.transform(F.array(marked), windows), 1)
-    return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.array_min(s).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(s).bitwiseAND(F.lit(_LOW))))))
+def parity(t: Column) -> Column:
+    """64 bits: whether an odd number of the tokens fall on each."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, pos and line of every line with a word; docs: doc_id, hash, text."""
+    """doc_id, hash, pos, line, id and id2 of every line with a word; docs: doc_id, hash, text."""
     rows = docs.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.filter(F.col("line").rlike(WORD))
+    return rows.filter(F.col("line").rlike(WORD)).withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit("second"), "line")})
 
 
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"), F.col("pos").alias("pos"))
 
 
-def candidates(postings: DataFrame) -> DataFrame:
-    """a, b: pairs of line ids that pass the prefix, length and positional filters; postings: token, id, n, i."""
-    a, b = postings.alias("a"), postings.alias("b")
-    both = F.col("a.n") + F.col("b.n")
-    rest = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    near = (OF * F.least("a.n", "b.n") >= NEED * F.greatest("a.n", "b.n")) & ((NEED + OF) * rest >= NEED * both)
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def _repeated(docs: DataFrame) -> DataFrame:
+    """id, id2, first and times of the lines that occur more than once."""
+    return cut(_lines(docs).groupBy("id", "id2").agg(F.min(_order()).alias("first"), F.count("*").alias("times")).filter("times > 1"))
 
 
-def _postings(docs: DataFrame, firsts: DataFrame, classes: Column) -> DataFrame:
-    """token, id, n, i of the prefixes, of tokens that more than one line has.
+def _postings(docs: DataFrame, repeated: DataFrame, classes: Column) -> DataFrame:
+    """token, id, doc, n, i, sig of the prefixes, of tokens that more than one line has, and head: the token's
+    earliest line.
 
-    Lines that make up over 1 / COMMON of all lines, COMMON at most, speak through their first occurrence
-    only, so no token is hot by copies; the rest of the copies meet in their token's partition.
+    Lines that make up over 1 / COMMON of the repeated ones, COMMON at most, speak through their first
+    occurrence only, so no token is hot by copies; the rest of the copies meet in their token's partition.
     """
-    total = firsts.agg(F.sum("times")).first()[0] or 0
-    common = firsts.filter(F.col("times") > total / COMMON).select(F.col("id").alias("common"), "first")
-    heard = _lines(docs).withColumn("id", F.xxhash64("line")).join(F.broadcast(common), F.col("id") == F.col("common"), "left")
-    heard = heard.filter(F.col("common").isNull() | (_order() == F.col("first")))
-    tokened = heard.select("id", tokens(F.col("line"), classes).alias("t"))
+    total = repeated.agg(F.sum("times")).first()[0] or 0
+    common = repeated.filter(F.col("times") > total / COMMON).select(F.col("id").alias("c"), F.col("id2").alias("c2"), "first")
+    heard = _lines(docs).join(F.broadcast(common), (F.col("id") == F.col("c")) & (F.col("id2") == F.col("c2")), "left")
+    heard = heard.filter(F.col("c").isNull() | (_order() == F.col("first")))
+    tokened = heard.select("id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tokens(F.col("line"), classes).alias("t"))
     size = F.size("t")
     prefix = F.slice("t", F.lit(1), size - F.floor((NEED * size + OF - 1) / OF).cast("int") + 1)
-    dealt = tokened.select("id", size.alias("n"), F.posexplode(prefix).alias("i", "token")).repartition("token")
+    signed = tokened.select("id", "doc", parity(F.col("t")).alias("sig"), size.alias("n"), prefix.alias("p"))
+    dealt = signed.select("id", "doc", "sig", "n", F.posexplode("p").alias("i", "token")).repartition("token")
     one = Window.partitionBy("token")
     shared = dealt.withColumns({"low": F.min("id").over(one), "high": F.max("id").over(one)}).filter("low <> high")
-    return shared.groupBy("token", "id").agg(F.first("n").alias("n"), F.first("i").alias("i"))
+    classed = shared.groupBy("token", "id", "n", "i", "sig").agg(F.min("doc").alias("doc"))
+    return cut(classed.withColumn("head", F.min(F.struct("doc", "id", "n", "i", "sig")).over(one)))
+
+
+def _near(a: str, b: str) -> Column:
+    """The length, positional and parity filters of two postings of one token."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i"))
+    differ = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
+    return (OF * F.least(n, m) >= NEED * F.greatest(n, m)) & ((NEED + OF) * rest >= NEED * (n + m)) & ((NEED + OF) * differ <= (OF - NEED) * (n + m))
+
+
+def _with_heads(postings: DataFrame) -> DataFrame:
+    """a, b, a_doc, b_doc: each line with the earliest line of each of its tokens."""
+    pairs = postings.alias("b").filter((F.col("b.head.id") != F.col("b.id")) & _near("b.head", "b"))
+    return pairs.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.doc").alias("a_doc"), F.col("doc").alias("b_doc")).distinct()
+
+
+def _with_all(asking: DataFrame, postings: DataFrame, done: DataFrame, more: Column | None = None) -> DataFrame:
+    """a, b, a_doc, b_doc: each posting of ``asking`` with all lines of its token that come before it, but the pairs in ``done``."""
+    a, b = postings.alias("a"), asking.alias("b")
+    fresh = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & (F.col("a.id") != F.col("b.head.id")) & (F.col("a.doc") <= F.col("b.doc"))
+    if more is not None:
+        fresh = fresh & more
+    pairs = a.join(b, fresh & _near("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.doc").alias("a_doc"), F.col("b.doc").alias("b_doc"))
+    return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
+    """a, b, a_line, b_line (structs of order, id and id2) of the pairs (a written table) that match."""
+    end = lambda s: F.struct(F.col(s).alias("q"), F.col(f"{s}_doc").alias("doc"))
+    asked = cut(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct())
+    doc = F.coalesce("doc_id", F.lit(_LAST))
+    near = docs.join(broadcast_if_small(asked.select("doc").distinct(), F.lit(48)), doc == F.col("doc"), "left_semi")
+    found = _lines(near).withColumn("d", doc).join(broadcast_if_small(asked, F.lit(64)), (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
+    line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
+    fetched = cut(found.select("id", "doc", line, tokens(F.col("line"), classes).alias("t")).groupBy("id", "doc").agg(F.min(F.struct("line", "t")).alias("x")))
+    side = lambda s: fetched.select(F.col("id").alias(s), F.col("doc").alias(f"{s}_doc"), F.col("x.line").alias(f"{s}_line"), F.col("x.t").alias(f"{s}_t"))
+    overlap = F.size(F.array_intersect("a_t", "b_t"))
+    both = pairs.join(side("a"), ["a", "a_doc"]).join(side("b"), ["b", "b_doc"])
+    return cut(both.filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t"))).select("a", "b", "a_line", "b_line"))
 
 
-def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes of equal lines, pairs a and b of classes that match) of docs: doc_id, hash, text."""
+def _started(docs: DataFrame) -> tuple[Column, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rarity classes, the repeated lines, the postings, the pairs with heads and those that match."""
     classes = rarity(docs)
-    slim = _lines(docs).select("doc_id", "hash", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("id2"))
-    firsts = cut(slim.groupBy("id", "id2").agg(F.min(_order()).alias("first"), F.count("*").alias("times")))
-    pairs = cut(candidates(cut(_postings(docs, firsts, classes))))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    where = firsts.join(ids, "id", "left_semi").select("id", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"))
-    asked = where.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("id", "first")).alias("asked")).withColumnsRenamed({"doc_id": "d", "hash": "h"})
-    found = docs.join(asked, docs["doc_id"].eqNullSafe(asked["d"]) & (docs["hash"] == asked["h"])).select(F.split("text", "\n").alias("l"), F.explode("asked").alias("q"))
-    fetched = found.select(F.col("q.id").alias("id"), F.col("q.first").alias("first"), tokens(F.get("l", F.col("q.first.pos")), classes).alias("t"))
-    fetched = cut(fetched.dropDuplicates(["id"]))
-    side = lambda s: fetched.select(F.col("id").alias(s), F.col("first").alias(f"{s}_first"), F.col("t").alias(f"{s}_t"))
-    overlap = F.size(F.array_intersect("a_t", "b_t"))
-    same = pairs.join(side("a"), "a").join(side("b"), "b").filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t")))
-    return slim, firsts, same
+    repeated = _repeated(docs)
+    postings = _postings(docs, repeated, classes)
+    pairs = cut(_with_heads(postings))
+    return classes, repeated, postings, pairs, _verified(docs, pairs, classes)
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b: matches among line ids that join all lines which a chain of matches joins; docs: doc_id, hash, text.
+
+    Lines that already hang together by their heads are not compared again, so a group of copies costs a
+    star of links; every match between lines that don't is found.
+    """
+    classes, _, postings, pairs, stars = _started(docs)
+    edges = stars.select("a", "b")
+    roots = components(edges)
+    named = postings.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = cut(_with_all(named, named, pairs, F.col("a.root") != F.col("b.root")))
+    return edges.unionByName(_verified(docs, rest, classes).select("a", "b"))
+
+
+def _late(matches: DataFrame) -> DataFrame:
+    """id, id2 of the later line of each pair."""
+    return matches.select(F.when(F.col("a_line") < F.col("b_line"), F.col("b_line")).otherwise(F.col("a_line")).alias("x")).select("x.id", "x.id2").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text."""
-    slim, firsts, same = matches(docs)
-    late = same.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("late", F.lit(True))
-
-    judged = firsts.join(late, "id", "left").select("id", "id2", "first", F.coalesce("late", F.lit(False)).alias("late"), "times").filter("late OR times > 1")
-    gone = slim.join(judged, ["id", "id2"]).filter(F.col("late") | (_order() != F.col("first")))
+    classes, repeated, postings, pairs, stars = _started(docs)
+    settled = cut(_late(stars))
+    asking = postings.join(broadcast_if_small(settled.select("id").distinct(), F.lit(48)), "id", "left_anti")
+    late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), classes)))
+
+    both = repeated.select("id", "id2", "first", F.lit(False).alias("late")).unionByName(late.select("id", "id2", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(True).alias("late")))
+    judged = cut(both.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("late").alias("late")))
+    gone = _lines(docs).drop("line").join(broadcast_if_small(judged, F.lit(112)), ["id", "id2"]).filter(F.col("late") | (_order() != F.col("first")))
     return gone.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with the matching lines taken out of ``text``, and n_lines, n_removed (int)."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), *[F.col(c).alias(f"__{c}") for c in docs.columns if c not in (key, text)])
-    gone = removals(slim).withColumnsRenamed({"doc_id": "__d", "hash": "__h", "removed": "__gone"})
-    joined = slim.join(gone, slim["doc_id"].eqNullSafe(gone["__d"]) & (slim["hash"] == gone["__h"]), "left")
-    joined = joined.select(F.col("doc_id").alias(key), F.col("text").alias(text), *[F.col(f"__{c}").alias(c) for c in docs.columns if c not in (key, text, "n_lines", "n_removed")], "__gone")
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with the matching lines taken out of ``text``, and two int columns of the given names: how
+    many lines the text had and lost. A column of ``docs`` that has one of these names gives way to it."""
+    rest = [c for c in docs.columns if c not in (key, text, n_lines, n_removed)]
+    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    gone = cut(removals(slim.select("doc_id", "hash", "text")).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "removed"))
+    gone = broadcast_if_small(gone, 80 + 4 * F.size("removed"))
+    joined = slim.join(gone, slim["doc_id"].eqNullSafe(gone["d"]) & (slim["hash"] == gone["h"]), "left")
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
     left = F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")), 1)
-    return (
-        joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0))})
-        .withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
-        .drop("__gone")
+    now = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    columns = {key: F.col("doc_id"), text: now} | {c: F.col("rest").getField(c) for c in rest}
+    return joined.select(
+        *[columns[c].alias(c) for c in docs.columns if c in columns], F.coalesce(F.size(lines), F.lit(0)).alias(n_lines), F.coalesce(F.size("removed"), F.lit(0)).alias(n_removed)
     )
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -75,29 +75,36 @@ def links(prints: DataFrame) -> DataFrame:
     return stars.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
-def similar_links(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """a, b: links among fingerprints of texts whose 5-word shingles have a Jaccard similarity of 0.8.
+def _flat(text: Column) -> Column:
+    """A text as one line, without ASCII capitals, as for its fingerprint."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, capitals + "\n", capitals.lower() + " ")
+
 
-    Exact, by the join of ``lines``: a text is one line, without ASCII capitals as for its fingerprint.
+def similar_links(docs: DataFrame, rows: DataFrame, text: str, key: str) -> DataFrame:
+    """a, b: links among fingerprints that join all texts whose 5-word shingles have a Jaccard similarity of 0.8.
+
+    Exact, by the join of ``lines`` over texts as lines; ``rows`` (flat, fp) has the fingerprint of each.
     """
-    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    line = F.translate(F.col(text), capitals + "\n", capitals.lower() + " ")
-    flat = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), line.alias("text")).filter(F.col("text").isNotNull())
-    pairs = lines.matches(flat)[2].select("a", "b")
-    prints = cut(flat.select(F.xxhash64("text").alias("id"), fingerprint(F.col("text")).alias("fp")).groupBy("id").agg(F.first("fp").alias("fp")))
-    side = lambda s: prints.select(F.col("id").alias(s), F.col("fp").alias(f"{s}_fp"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter("a_fp <> b_fp").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+    flat = docs.select(F.col(key).cast("string").alias("doc_id"), F.xxhash64(text).alias("hash"), _flat(F.col(text)).alias("text")).filter("text IS NOT NULL")
+    ids = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))  # a place to look in; which row of a group is the earliest plays no part
+    linked = lines.links(flat.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), ids)))
+    prints = rows.groupBy("flat").agg(F.first("fp").alias("fp"))
+    side = lambda s: prints.select(F.col("flat").alias(s), F.col("fp").alias(f"{s}_fp"))
+    return linked.join(side("a"), "a").join(side("b"), "b").filter("a_fp <> b_fp").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): key and fp of every row of ``docs``; fp, root and component (the smallest key
-    of the group) of every distinct fingerprint. ``similar`` also links texts by their 5-word shingles."""
+    """(rows, groups): key, hash (of the text), flat (of the text as one line) and fp of every row of ``docs``;
+    fp, root and component (the smallest key of the group) of every distinct fingerprint. ``similar`` also
+    links texts by their 5-word shingles."""
     small_batches(docs.sparkSession)
-    rows = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")))
+    known = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.xxhash64(_flat(F.col(text))).alias("flat"), fingerprint(F.col(text)).alias("fp"))
+    rows = cut(known)
     prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
     linked = links(prints)
     if similar:
-        linked = linked.unionByName(similar_links(docs, text, key))
+        linked = linked.unionByName(similar_links(docs, rows, text, key))
     linked = components(linked)
     placed = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
@@ -105,13 +112,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: bool = False) -> DataFrame:
-    """``docs`` with one row of each group: the one of the smallest key, then of the smallest fingerprint."""
+    """``docs`` with one row of each group, linked by fingerprints, or by 5-word shingles too if ``similar``:
+    the one of the smallest key (null last), then of the smallest fingerprint, then of the smallest text hash; of rows that are equal
+    in key and text the one whose other columns come first."""
     rows, groups = near_duplicates(docs, text, key, similar)
-    kept = rows.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), F.col("key").alias("key"), "fp")).alias("w"))
-    winners = kept.select(F.col("w.key").alias("__win_key"), F.col("w.fp").alias("__win_fp"))
-    marked = docs.withColumn("__own_fp", fingerprint(F.col(text)))
-    won = marked.join(winners, marked[key].eqNullSafe(winners["__win_key"]) & (marked["__own_fp"] == winners["__win_fp"]), "left_semi")
-    return won.dropDuplicates([key, "__own_fp"]).drop("__own_fp")
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp", "hash")).alias("w")
+    winners = rows.join(groups.select("fp", "root"), "fp").groupBy("root").agg(best)
+    at = [F.coalesce(F.col("w.key").cast("string"), F.lit("")).alias("at"), F.col("w.none").alias("none"), F.col("w.hash").alias("hash")]
+    own = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("at"), F.col(key).isNull().alias("none"), F.xxhash64(text).alias("hash"), F.struct(*docs.columns).alias("row"))
+    won = own.join(winners.select(*at), ["at", "none", "hash"], "left_semi")
+    return won.groupBy("at", "none", "hash").agg(F.min("row").alias("row")).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
