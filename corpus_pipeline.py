@@ -10,14 +10,11 @@ and mixed like any other; a document all of whose worded lines are repeats of ea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import classifier, lines, mixing, pieces, simhash
-from folioflow.llm.common import WORD, n_words, table, text_or_empty
+from folioflow.llm.common import WORD, n_words, shared_folder, table, text_or_empty
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
