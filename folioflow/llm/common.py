@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +51,20 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
 def words(text: Column) -> Column:
     """The words of a text, without a pattern: white space becomes spaces, and what stands between them are words."""
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " ", -1), "")
+    ends = F.replace(text, F.lit("\n"), F.lit(" "))
+    spaced = F.when(ends.rlike(r"[\t\x0b-\r]"), F.translate(ends, "\t\x0b\x0c\r", " " * 4)).otherwise(ends)
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def n_words(text: Column) -> Column:

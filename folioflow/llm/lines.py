@@ -37,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, broadcast_if_small, cut, table, words
+from folioflow.llm.common import WORD, broadcast_if_small, cut, let, table, words
 from folioflow.llm.graph import components
 
 SHINGLE = 5
@@ -65,14 +65,20 @@ def tokens(line: Column, classes: Column) -> Column:
     top = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
     marked = F.transform(hashes, lambda h: F.coalesce(top(h), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
 
-    def windows(k: Column) -> Column:
-        def token(x: Column, i: Column) -> Column:
-            shingle = [x, *[F.get(k, i + j) for j in range(1, SHINGLE)]]  # nulls beyond a short line's end count for nothing
-            return F.least(*shingle).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*shingle).bitwiseAND(F.lit(_LOW)))
+    return F.sort_array(F.array_distinct(let(marked, _shingles)))
 
-        return F.transform(F.slice(k, F.lit(1), F.greatest(F.size(k) - (SHINGLE - 1), F.lit(1))), token)
 
-    return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(marked), windows), 1)))
+def _join(a: Column, b: Column) -> Column:
+    """A token of two tokens in a row: the rarest class of both, a hash of both. Nulls count for nothing."""
+    return F.least(a, b).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(a, b).bitwiseAND(F.lit(_LOW)))
+
+
+def _shingles(m: Column) -> Column:
+    """The tokens of each ``SHINGLE`` = 5 marks in a row, by doubling: of 2, of 4, of 5."""
+    after = lambda x, k: F.slice(x, F.lit(1 + k), F.size(m))
+    count = F.greatest(F.size(m) - (SHINGLE - 1), F.lit(1))
+    whole = lambda four: F.zip_with(F.slice(four, F.lit(1), count), after(m, 4), lambda a, b: F.coalesce(_join(a, b), F.lit(0).cast("long")))
+    return let(F.zip_with(m, after(m, 1), _join), lambda two: let(F.zip_with(two, after(two, 2), _join), whole))
 
 
 def parity(t: Column) -> Column:
