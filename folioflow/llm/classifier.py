@@ -6,17 +6,19 @@ singular vectors of the labelled sample. Every document is compared with every l
 cosines, one matrix product a block) and the ``NEIGHBOURS`` nearest vote with similarity ** POWER.
 
 Scale: one scan, no shuffle. Labels are learned from at most ``SAMPLE`` rows (the lowest by hash of
-doc_id), so all that is sent to the driver and broadcast is bounded: SAMPLE count vectors of ``TERMS``
-16-bit counts, then TERMS x RANK and SAMPLE x RANK floats. Texts are read whole, ``CHUNK`` bytes at a
+doc_id), so all that is sent to the driver and broadcast is bounded: SAMPLE compressed count vectors of
+``TERMS`` 16-bit counts, then TERMS x RANK and SAMPLE x RANK floats. Texts are read whole, ``CHUNK`` bytes at a
 time; a block of ``ROWS`` texts is scored at once.
 
 Defined cases: a null or empty text, or one without a similar neighbour, gets the sample's mean
 label; with no labelled row every score is 0.5; of several labels of a doc_id the lowest counts; null
-labels are ignored; repeated rows get equal scores.
+labels are ignored; repeated rows get equal scores; held_out is null for a null doc_id.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,25 +66,42 @@ def counts(text: bytes | None) -> np.ndarray:
 
 @F.arrow_udf(BinaryType())
 def _counted(texts: pa.Array) -> pa.Array:
-    return pa.array([np.minimum(counts(t), 65535).astype(np.uint16).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    return pa.array([packed(counts(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def packed(tf: np.ndarray) -> bytes:
+    """Counts as they are sent to the driver: 16 bits each, compressed."""
+    return zlib.compress(np.minimum(tf, 65535).astype(np.uint16).tobytes(), 1)
+
+
+def unpacked(sent: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(zlib.decompress(x), np.uint16) for x in sent])
 
 
 class Model:
-    """What the executors need: idf, projection, labelled vectors and labels, all of bounded size."""
+    """What the executors need: idf, projection, labelled vectors and labels, all of bounded size.
+
+    Learned from packed counts: they are unpacked ``ROWS`` at a time, so the one large thing that the
+    driver holds is the matrix of weights (32 bits for each of SAMPLE x TERMS).
+    """
 
-    def __init__(self, tf: np.ndarray, labels: np.ndarray):
-        self.mean = float(labels.mean()) if len(labels) else 0.5
+    def __init__(self, sent: list[bytes], labels: np.ndarray):
+        n = len(sent)
+        self.mean = float(labels.mean()) if n else 0.5
         self.labels = labels.astype(np.float32)
-        df = (tf > 0).sum(axis=0)
-        self.idf = np.log((1 + len(tf)) / (1 + df)).astype(np.float32) + 0.1
-        weighted = self._weigh(tf)
-        rank = min(RANK, *tf.shape)
+        blocks = [slice(at, at + ROWS) for at in range(0, n, ROWS)]
+        df = sum(((unpacked(sent[b]) > 0).sum(axis=0) for b in blocks), np.zeros(TERMS, np.int64))
+        self.idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
+        weighted = np.empty((n, TERMS), np.float32)
+        for b in blocks:
+            weighted[b] = self._weigh(unpacked(sent[b]))
+        rank = min(RANK, n, TERMS)
         rng = np.random.default_rng(7)
         basis = rng.standard_normal((TERMS, rank + 16), dtype=np.float32)
         for _ in range(4):  # subspace iteration for the leading right singular vectors
-            basis, _r = np.linalg.qr(weighted.T @ (weighted @ basis)) if len(tf) else (basis, None)
+            basis, _r = np.linalg.qr(weighted.T @ (weighted @ basis)) if n else (basis, None)
         self.projection = np.zeros((TERMS, 1), np.float32)
-        if len(tf):
+        if n:
             small = weighted @ basis
             _u, _s, right = np.linalg.svd(small, full_matrices=False)
             self.projection = np.ascontiguousarray((basis @ right.T)[:, :rank])
@@ -126,19 +145,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", _counted("text").alias("tf"))
     best = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "tf").limit(sample).toArrow()  # repeated rows don't widen the bound
-    tf = np.frombuffer(b"".join(best["tf"].to_pylist()), np.uint16).reshape(-1, TERMS)
-    return Model(tf, np.array(best["label"].to_pylist(), np.float64))
+    return Model(best["tf"].to_pylist(), np.array(best["label"].to_pylist(), np.float64))
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1)."""
+def classify(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``: the score (0 to 1)."""
 
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(model.scores(texts.cast(pa.binary()).to_pylist()), pa.float64())
 
     small_batches(docs.sparkSession)
-    return docs.withColumn("score", score(F.col(text)))
+    return docs.withColumn(out, score(F.col(text)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n_line
     """``docs`` with the matching lines taken out of ``text``, and two int columns of the given names: how
     many lines the text had and lost. A column of ``docs`` that has one of these names gives way to it."""
     rest = [c for c in docs.columns if c not in (key, text, n_lines, n_removed)]
-    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), F.struct(F.lit(0).alias("__pad"), *rest).alias("rest"))
     gone = cut(removals(slim.select("doc_id", "hash", "text")).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "removed"))
     gone = broadcast_if_small(gone, 80 + 4 * F.size("removed"))
     joined = slim.join(gone, slim["doc_id"].eqNullSafe(gone["d"]) & (slim["hash"] == gone["h"]), "left")

@@ -27,6 +27,7 @@ MAX_EPOCHS = 3
 BUCKETS = 4096  # three hex digits of the shuffle key
 BINS = 16384
 _P = "__mix_"  # prefix of every internal column
+MADE = ("mix_copy", "mix_finish", "mix_row", "source_size", "target", "mix_taken")
 
 
 def source_targets(sums: DataFrame) -> DataFrame:
@@ -59,18 +60,18 @@ def _bin(v: Column) -> Column:
 def mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id", truncate: bool = True) -> DataFrame:
     """The mix of ``docs`` as one row per taken copy, in the global order of virtual finish times.
 
-    Columns: those of ``docs`` and mix_copy int, mix_finish double, mix_row string (names the input
+    Columns: those of ``docs`` (but for ones of the names that follow) and mix_copy int, mix_finish double, mix_row string (names the input
     row), source_size long, target double, mix_taken boolean. With ``truncate=False`` the copies
     beyond the budget stay, with mix_taken false. ``size`` is a non-null long column of ``docs``.
     """
-    shuffle = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    given = [c for c in docs.columns if c not in MADE]
+    size, key, own = f"{_P}size", f"{_P}key", (size, key)
     base = cut(
-        docs.withColumns({
+        docs.select(F.col(own[0]).alias(size), F.col(own[1]).alias(key), F.col(source), F.struct(F.lit(0).alias(f"{_P}pad"), *given).alias(f"{_P}row")).withColumns({
             f"{_P}null": F.col(source).isNull(),
             f"{_P}src": F.coalesce(F.col(source), F.lit("")),
-            f"{_P}h": shuffle,
-            f"{_P}bucket": F.conv(F.substring(shuffle, 1, 3), 16, 10).cast("int"),
-        })
+            f"{_P}h": F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))),
+        }).drop(source).withColumn(f"{_P}bucket", F.conv(F.substring(f"{_P}h", 1, 3), 16, 10).cast("int"))
     )
     group = [f"{_P}null", f"{_P}src", f"{_P}bucket"]
     sums = base.groupBy(*group).agg(F.sum(size).alias("bucket_size"))
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id",
 
     within = Window.partitionBy(*group).orderBy(f"{_P}h", size, key)
     placed = (
-        base.drop("source_size", "target", "total").join(offsets, group)
+        base.join(offsets, group)
         .withColumn(f"{_P}cum", F.col(f"{_P}before") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn(f"{_P}n", F.row_number().over(within))
     )
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id",
         out = out.filter("mix_taken")
     out = out.withColumn("mix_row", F.concat_ws(":", F.col(f"{_P}null").cast("string"), F.col(f"{_P}h"), F.col(f"{_P}n").cast("string"), F.col(f"{_P}src")))
     return out.orderBy("mix_finish", f"{_P}null", f"{_P}src", f"{_P}h", size, "mix_copy").select(
-        *docs.drop("source_size", "target", "total").columns, "mix_copy", "mix_finish", "mix_row", "source_size", "target", "mix_taken"
+        *[F.col(f"{_P}row").getField(c).alias(c) for c in given], "mix_copy", "mix_finish", "mix_row", "source_size", "target", "mix_taken"
     )
 
 

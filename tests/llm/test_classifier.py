@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
+
 from folioflow.llm import classifier as c
 
 
@@ -55,3 +57,22 @@ def test_counts_do_not_depend_on_chunks(monkeypatch):
     want = c.counts(text)
     monkeypatch.setattr(c, "CHUNK", 97)
     assert (c.counts(text) == want).all()
+
+
+def test_votes_equal_a_plain_vote(spark):
+    docs, labels = corpus(160)
+    frame = spark.createDataFrame(docs + [(900, ""), (901, None)], "doc_id long, text string")
+    model = c.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model.labels) > c.NEIGHBOURS
+    got = {r.doc_id: r.score for r in c.classify(frame, model).collect()}
+    for i, text in docs[::7]:
+        tf = c.counts(text.encode())[None].astype(np.float64)
+        x = np.log1p(tf[0]) * model.idf
+        x[: c.GRAMS] /= np.sqrt((x[: c.GRAMS] ** 2).sum())
+        x[c.GRAMS : -2] /= np.sqrt((x[c.GRAMS : -2] ** 2).sum())
+        x[-2:] = tf[0, -2:] / np.sqrt((tf[0, -2:] ** 2).sum())
+        v = x @ model.projection.astype(np.float64)
+        near = sorted(((float(v @ y / np.sqrt(v @ v)), float(q)) for y, q in zip(model.vectors.astype(np.float64), model.labels, strict=True)), reverse=True)[: c.NEIGHBOURS]
+        weights = [max(s, 0) ** c.POWER for s, _ in near]
+        assert abs(got[i] - sum(w * q for w, (_, q) in zip(weights, near, strict=True)) / sum(weights)) < 0.02
+    assert got[900] == got[901] == model.mean
