@@ -19,14 +19,14 @@ from folioflow.llm.common import WORD, n_words, shared_folder, table, text_or_em
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. Labels are learned from the stage's own documents."""
-    scored = classifier.classify(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("score") >= classifier.THRESHOLD).select(*docs.columns)
+    scored = classifier.classify(docs, classifier.fit(docs, table(spark, sf_dir, "labels")), out="__score")
+    return scored.filter(F.col("__score") >= classifier.THRESHOLD).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match earlier ones."""
-    left = lines.dedup_lines(docs)
-    left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    left = lines.dedup_lines(docs, n_lines="__lines", n_removed="__removed")
+    left = left.filter((F.col("__removed") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order; documents of sources below their target come up to three times."""
-    sized = docs.withColumn("__words", n_words(text_or_empty()).cast("long"))
-    return mixing.mix(sized, "__words").select(*docs.columns)
+    sized = docs.select("doc_id", "source", n_words(text_or_empty()).cast("long").alias("__words"), F.struct(*docs.columns).alias("__doc"))
+    return mixing.mix(sized, "__words").select("__doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
