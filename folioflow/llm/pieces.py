@@ -8,12 +8,12 @@ model the fold is Viterbi's (``fold_viterbi``). The public vocabulary is a BPE m
 greatest score is not the model's answer; there the fold applies the model's rule to the same edges: the
 best-scored adjacent pair merges first, the leftmost of equals (``fold_merges``).
 
-The corpus's ``FREQUENT`` most frequent words, counted over all texts, go through that lattice and
-become a broadcast dictionary of bounded size (FREQUENT words of at most ``LONGEST`` code points). Texts
-are then encoded in place, batch by batch; a word outside the dictionary is encoded where it stands by
-the same merge rule over the same pieces (``Vocabulary.merge``), so no word is lost and no text or token
-is shuffled: a join of every word of every text to the table of all distinct words would write several
-times the input. Words longer than LONGEST take a heap, n log n in their length.
+The corpus's frequent words, counted over all texts, each over 1 / ``FREQUENT`` of all words, go through
+that lattice and become a broadcast dictionary of bounded size (below FREQUENT words of at most ``LONGEST``
+code points). Texts are then encoded in place, batch by batch; a word outside the dictionary is encoded
+where it stands by the same merge rule over the same pieces (``Vocabulary.merge``), so no word is lost and
+no text or token is shuffled: a join of every word of every text to the table of all distinct words would
+write several times the input. Words longer than LONGEST take a heap, n log n in their length.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; characters without a
 piece become their UTF-8 bytes' pieces; ``▁`` in a text is a space; repeated rows get equal pieces;
@@ -39,7 +39,7 @@ SPACE = "▁"
 WORDS = f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
 FREQUENT = 100_000
 LONGEST = 48
-CACHE = 400_000  # words that a worker remembers beside the dictionary
+CACHE = 250_000  # a worker remembers up to twice as many words beside the dictionary
 _INF = 1e300
 
 
@@ -207,29 +207,36 @@ def fold_viterbi(words: DataFrame, byte_ids: list[int], unknown: float) -> DataF
 
 
 def dictionary(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", frequent: int = FREQUENT) -> dict[str, bytes]:
-    """The encoded words that occur most: at most ``frequent`` of at most LONGEST code points."""
+    """The encoded words that are each over 1 / ``frequent`` of all words: fewer than ``frequent`` of them, of
+    at most LONGEST code points, whatever the corpus."""
     spark = docs.sparkSession
-    counted = docs.select(F.explode(words_of(F.col(text))).alias("word")).filter(F.length("word") <= LONGEST).groupBy("word").count()
-    chosen = cut(counted.orderBy(F.desc("count"), "word").limit(frequent).select("word"))
+    spaced = docs.select(F.explode(F.split(F.col(text), " ", -1)).alias("w")).filter(F.length("w").between(1, LONGEST - 1) & ~F.contains("w", F.lit(SPACE)))
+    counted = spaced.groupBy("w").count()
+    often = cut(counted.filter(F.col("count") > 1))  # a word that stands once is over that share only of a corpus of fewer words
+    total = often.agg(F.sum("count")).first()[0] or 0
+    chosen = cut(often.filter(F.col("count") > total / frequent).select(F.concat(F.lit(SPACE), "w").alias("word")))
     edges = lattice(chosen.repartition("word"), piece_table(spark, vocabulary), vocabulary.longest)
     found = fold_merges(edges, vocabulary.bytes).toArrow()
     return {w: np.array(ids, "<i4").tobytes() for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
 
 
 class _Encoder(dict):
-    """word -> ids as bytes; other words than the dictionary's are encoded as they come."""
+    """word -> ids as bytes; other words than the dictionary's are encoded as they come, and of those the
+    last CACHE to 2 CACHE distinct ones are remembered."""
 
     def __init__(self, words: dict[str, bytes], vocabulary: Vocabulary):
         super().__init__(words)
-        self.vocabulary, self.own = vocabulary, {}
+        self.vocabulary, self.own, self.older = vocabulary, {}, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.own.get(word)
         if found is None:
-            if len(self.own) >= CACHE:
-                self.own.clear()
-            found = array("i", self.vocabulary.merge(word)).tobytes()
+            found = self.older.get(word)
+            if found is None:
+                found = array("i", self.vocabulary.merge(word)).tobytes()
             if len(word) <= LONGEST:
+                if len(self.own) >= CACHE:
+                    self.own, self.older = {}, self.own
                 self.own[word] = found
         return found
 
@@ -261,7 +268,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", frequent
     """``docs`` with piece_ids."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, vocabulary, text, frequent))
-    return docs.withColumn("piece_ids", encoder(_Shared(shared), vocabulary)(F.col(text)))
+    # marked so that what reads the ids doesn't make Spark compute them a second time
+    return docs.withColumn("piece_ids", encoder(_Shared(shared), vocabulary).asNondeterministic()(F.col(text)))
 
 
 class _Shared:

@@ -71,3 +71,13 @@ def test_viterbi_equals_all_segmentations(spark):
 def test_empty_table(spark):
     v = p.Vocabulary()
     assert p.decode(p.encode(spark.createDataFrame([], "doc_id long, text string"), v), v).count() == 0
+
+
+def test_the_query(spark, made, tmp_path):
+    texts, want = made
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] * 2, "doc_id long, text string, piece_ids string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = p.op8_pieces(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(texts) and all(r.round_trip and r.n_pieces == len(want[r.doc_id]) and r.n_chars == len(texts[r.doc_id] or "") for r in rows)
+    hashed = spark.createDataFrame([(i, w) for i, w in enumerate(want)], "i long, w array<int>").select("i", F.lower(F.hex(F.xxhash64("w"))).alias("h"))
+    assert {r.doc_id: r.pieces_xxh64 for r in rows} == {r.i: r.h for r in hashed.collect()}
