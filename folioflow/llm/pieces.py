@@ -39,7 +39,7 @@ SPACE = "▁"
 WORDS = f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
 FREQUENT = 100_000
 LONGEST = 48
-CACHE = 250_000  # a worker remembers up to twice as many words beside the dictionary
+CACHE = 150_000  # a worker remembers up to twice as many words beside the dictionary
 _INF = 1e300
 
 
