@@ -81,10 +81,13 @@ def _shingles(m: Column) -> Column:
     return let(F.zip_with(m, after(m, 1), _join), lambda two: let(F.zip_with(two, after(two, 2), _join), whole))
 
 
+def _bit(token: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def parity(t: Column) -> Column:
     """64 bits: whether an odd number of the tokens fall on each."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(_bit(x)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -148,42 +151,63 @@ def _with_all(asking: DataFrame, postings: DataFrame, done: DataFrame, more: Col
     return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: Column) -> DataFrame:
-    """a, b, a_line, b_line (structs of order, id and id2) of the pairs (a written table) that match."""
+def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) -> DataFrame:
+    """a, b, a_line, b_line (structs of order, id and id2) of the pairs (a written table) that match.
+
+    The token sets of all lines asked for are written where they are found; what meets first are parity
+    signatures of ``wide`` x 64 bits, and only pairs that these don't rule out meet with their token sets.
+    """
     end = lambda s: F.struct(F.col(s).alias("q"), F.col(f"{s}_doc").alias("doc"))
     asked = cut(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct())
     doc = F.coalesce("doc_id", F.lit(_LAST))
     near = docs.join(broadcast_if_small(asked.select("doc").distinct(), F.lit(48)), doc == F.col("doc"), "left_semi")
     found = _lines(near).withColumn("d", doc).join(broadcast_if_small(asked, F.lit(64)), (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
     line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
-    fetched = cut(found.select("id", "doc", line, tokens(F.col("line"), classes).alias("t")).groupBy("id", "doc").agg(F.min(F.struct("line", "t")).alias("x")))
-    side = lambda s: fetched.select(F.col("id").alias(s), F.col("doc").alias(f"{s}_doc"), F.col("x.line").alias(f"{s}_line"), F.col("x.t").alias(f"{s}_t"))
+    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line"), classes).alias("t")))
+
+    row = ["row", "id", "doc", "line"]
+    word = F.pmod(F.shiftright("x", 6), F.lit(wide)).cast("int").alias("w")
+    words_ = found.select(*row, F.size("t").alias("n"), F.explode("t").alias("x")).groupBy(*row, "n", word).agg(F.bit_xor(_bit(F.col("x"))).alias("bits"))
+    signed = words_.groupBy(*row, "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    sig = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
+    signed = cut(signed.select("id", "doc", "line", "n", sig.alias("sig")).groupBy("id", "doc").agg(F.min(F.struct("line", "n", "sig")).alias("x")))
+    side = lambda s: signed.select(F.col("id").alias(s), F.col("doc").alias(f"{s}_doc"), *[F.col(f"x.{c}").alias(f"{s}_{c}") for c in ("line", "n", "sig")])
+    differ = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    left = pairs.join(side("a"), ["a", "a_doc"]).join(side("b"), ["b", "b_doc"]).filter((NEED + OF) * differ <= (OF - NEED) * (F.col("a_n") + F.col("b_n")))
+    left = cut(left.select("a", "b", "a_line", "b_line"))
+
+    at = F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("a_line").alias("l")), F.struct(F.col("b").alias("q"), F.col("b_line").alias("l"))))
+    wanted = cut(left.select(at.alias("x")).select("x.*").distinct())
+    sets = found.join(broadcast_if_small(wanted, F.lit(112)), (F.col("id") == F.col("q")) & (F.col("line") == F.col("l"))).groupBy("id", "line").agg(F.min("t").alias("t"))
+    sets = cut(sets)
+    whole = lambda s: sets.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"), F.col("t").alias(f"{s}_t"))
     overlap = F.size(F.array_intersect("a_t", "b_t"))
-    both = pairs.join(side("a"), ["a", "a_doc"]).join(side("b"), ["b", "b_doc"])
+    both = left.join(whole("a"), ["a", "a_line"]).join(whole("b"), ["b", "b_line"])
     return cut(both.filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t"))).select("a", "b", "a_line", "b_line"))
 
 
-def _started(docs: DataFrame) -> tuple[Column, DataFrame, DataFrame, DataFrame, DataFrame]:
+def _started(docs: DataFrame, wide: int) -> tuple[Column, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The rarity classes, the repeated lines, the postings, the pairs with heads and those that match."""
     classes = rarity(docs)
     repeated = _repeated(docs)
     postings = _postings(docs, repeated, classes)
     pairs = cut(_with_heads(postings))
-    return classes, repeated, postings, pairs, _verified(docs, pairs, classes)
+    return classes, repeated, postings, pairs, _verified(docs, pairs, classes, wide)
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, wide: int = 32) -> DataFrame:
     """a, b: matches among line ids that join all lines which a chain of matches joins; docs: doc_id, hash, text.
+    ``wide``: the words of a line's signature.
 
     Lines that already hang together by their heads are not compared again, so a group of copies costs a
     star of links; every match between lines that don't is found.
     """
-    classes, _, postings, pairs, stars = _started(docs)
+    classes, _, postings, pairs, stars = _started(docs, wide)
     edges = stars.select("a", "b")
     roots = components(edges)
     named = postings.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rest = cut(_with_all(named, named, pairs, F.col("a.root") != F.col("b.root")))
-    return edges.unionByName(_verified(docs, rest, classes).select("a", "b"))
+    return edges.unionByName(_verified(docs, rest, classes, wide).select("a", "b"))
 
 
 def _late(matches: DataFrame) -> DataFrame:
@@ -191,12 +215,13 @@ def _late(matches: DataFrame) -> DataFrame:
     return matches.select(F.when(F.col("a_line") < F.col("b_line"), F.col("b_line")).otherwise(F.col("a_line")).alias("x")).select("x.id", "x.id2").distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text."""
-    classes, repeated, postings, pairs, stars = _started(docs)
+def removals(docs: DataFrame, wide: int = 4) -> DataFrame:
+    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text.
+    ``wide``: the words of a line's signature."""
+    classes, repeated, postings, pairs, stars = _started(docs, wide)
     settled = cut(_late(stars))
     asking = postings.join(broadcast_if_small(settled.select("id").distinct(), F.lit(48)), "id", "left_anti")
-    late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), classes)))
+    late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), classes, wide)))
 
     both = repeated.select("id", "id2", "first", F.lit(False).alias("late")).unionByName(late.select("id", "id2", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(True).alias("late")))
     judged = cut(both.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("late").alias("late")))
