@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,22 +34,55 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
+#: The folders of the tables written in the innermost ``scratch``, or None outside of any.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("_WRITTEN", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and the rows
-    survive lost executors. Who sets the folder clears it after the session."""
-    folder = shared_folder(df.sparkSession)
+    survive lost executors. ``scratch`` clears what is no longer needed; who sets the folder clears the rest
+    after the session."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What ``cut`` writes inside is deleted at the end, but for the tables that went through the function given.
+    Only for code whose result doesn't read the others: they are gone when it is used."""
+    outer, written, kept = _WRITTEN.get(), [], []
+    token = _WRITTEN.set(written)
+    spark = SparkSession.active()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._folder)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(token)
+        if outer is not None:
+            outer += kept
+        for folder in set(written) - set(kept):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: The most bytes of a table that is broadcast after its size was measured.
 BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     """``df`` (a written table) marked for broadcast if its measured size allows it; as it is, for a join
-    by shuffle, if not."""
-    total = df.agg(F.sum(row_bytes)).first()[0] or 0
+    by shuffle, if not. ``row_bytes``: what a row takes in memory."""
+    total = row_bytes * df.count() if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 

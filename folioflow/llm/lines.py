@@ -21,7 +21,7 @@ fetch their texts by a join on the document. Tables of line ids and of removed l
 were measured to be small; beyond that the joins go by shuffle. The rarity table has BUCKETS rows and that
 of common lines COMMON at most, at any size.
 
-Native: DataFrame functions only. Tokens are 63-bit: 7 bits of rarity, 56 of hash. Lines are one class if
+Native: DataFrame functions only. Tokens are 60-bit: 4 bits of rarity, 56 of hash. Lines are one class if
 their 64-bit hashes agree and they share a token, or if 128 bits agree.
 
 Defined cases: lines without a word are never removed; null texts stay null; rows that repeat doc_id and
@@ -32,40 +32,46 @@ gives no rows; extra columns are carried, whatever their names.
 from __future__ import annotations
 
 import json
-import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, broadcast_if_small, cut, let, table, words
+from folioflow.llm.common import WORD, broadcast_if_small, cut, let, scratch, table, words
 from folioflow.llm.graph import components
 
 SHINGLE = 5
 NEED, OF = 4, 5  # the similarity as a fraction
-BUCKETS = 16384
+BUCKETS = 65536
 COMMON = 20000
-_TOP = 0x7F << 56
+_TOP = 0xF << 56
 _LOW = (1 << 56) - 1
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A constant array: a class from 0 (rare) to 127 for each bucket of word hashes, of the count of the bucket's words."""
+    """A constant array: 4 bits for each bucket of word hashes, sixteen to a long, from 0 (rare) to 15: the count
+    of the bucket's words in half octaves about the median of all buckets."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
-    counted = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(bucket).count().collect()  # BUCKETS rows at most
-    classes = [0] * BUCKETS
-    for b, n in counted:
-        classes[b] = min(127, int(4 * math.log2(n)))
-    return F.from_json(F.lit(json.dumps(classes, separators=(",", ":"))), "array<tinyint>")
+    counted = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(bucket).count().toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS)
+    counts[counted["b"].to_numpy()] = counted["count"].to_numpy()
+    octaves = np.log2(np.maximum(counts, 1) / max(1.0, float(np.median(counts))))
+    classes = np.clip(np.floor(2 * octaves) + 4, 0, 15).astype(np.uint64).reshape(-1, 16)
+    packed = (classes << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return F.from_json(F.lit(json.dumps(packed.tolist(), separators=(",", ":"))), "array<bigint>")
 
 
 def tokens(line: Column, classes: Column) -> Column:
     """The distinct tokens of a line, the rarest first."""
     hashes = F.transform(words(line), lambda x: F.xxhash64(x))
-    top = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56)
-    marked = F.transform(hashes, lambda h: F.coalesce(top(h), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
 
-    return F.sort_array(F.array_distinct(let(marked, _shingles)))
+    def marked(h: Column) -> Column:
+        sixteen = F.get(classes, F.shiftright(h, 4).bitwiseAND(F.lit(BUCKETS // 16 - 1)).cast("int"))
+        own = F.call_function("shiftright", sixteen, F.shiftleft(h.bitwiseAND(F.lit(15)).cast("int"), 2)).bitwiseAND(F.lit(15).cast("long"))
+        return F.coalesce(F.shiftleft(own, 56), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+
+    return F.sort_array(F.array_distinct(let(F.transform(hashes, marked), _shingles)))
 
 
 def _join(a: Column, b: Column) -> Column:
@@ -159,27 +165,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) ->
     """
     end = lambda s: F.struct(F.col(s).alias("q"), F.col(f"{s}_doc").alias("doc"))
     asked = cut(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct())
+    asked = broadcast_if_small(asked, 64)
     doc = F.coalesce("doc_id", F.lit(_LAST))
-    near = docs.join(broadcast_if_small(asked.select("doc").distinct(), F.lit(48)), doc == F.col("doc"), "left_semi")
-    found = _lines(near).withColumn("d", doc).join(broadcast_if_small(asked, F.lit(64)), (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
+    near = docs.join(asked.select(F.col("doc").alias("d")), doc == F.col("d"), "left_semi")
+    found = _lines(near).withColumn("d", doc).join(asked, (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
     line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
     found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line"), classes).alias("t")))
 
     row = ["row", "id", "doc", "line"]
     word = F.pmod(F.shiftright("x", 6), F.lit(wide)).cast("int").alias("w")
     words_ = found.select(*row, F.size("t").alias("n"), F.explode("t").alias("x")).groupBy(*row, "n", word).agg(F.bit_xor(_bit(F.col("x"))).alias("bits"))
-    signed = words_.groupBy(*row, "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    first = words_.groupBy("id", "doc").agg(F.min(F.struct("line", "row", "n")).alias("x"), F.collect_list(F.struct("row", "w", "bits")).alias("all"))
+    own = F.map_from_entries(F.transform(F.filter("all", lambda y: y["row"] == F.col("x.row")), lambda y: F.struct(y["w"], y["bits"])))
     sig = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
-    signed = cut(signed.select("id", "doc", "line", "n", sig.alias("sig")).groupBy("id", "doc").agg(F.min(F.struct("line", "n", "sig")).alias("x")))
-    side = lambda s: signed.select(F.col("id").alias(s), F.col("doc").alias(f"{s}_doc"), *[F.col(f"x.{c}").alias(f"{s}_{c}") for c in ("line", "n", "sig")])
+    signed = cut(first.withColumn("m", own).select("id", "doc", "x.line", "x.n", sig.alias("sig")))
+    signed = broadcast_if_small(signed, 144 + 8 * wide)
+    side = lambda s: signed.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "sig")])
     differ = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     left = pairs.join(side("a"), ["a", "a_doc"]).join(side("b"), ["b", "b_doc"]).filter((NEED + OF) * differ <= (OF - NEED) * (F.col("a_n") + F.col("b_n")))
     left = cut(left.select("a", "b", "a_line", "b_line"))
 
     at = F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("a_line").alias("l")), F.struct(F.col("b").alias("q"), F.col("b_line").alias("l"))))
-    wanted = cut(left.select(at.alias("x")).select("x.*").distinct())
-    sets = found.join(broadcast_if_small(wanted, F.lit(112)), (F.col("id") == F.col("q")) & (F.col("line") == F.col("l"))).groupBy("id", "line").agg(F.min("t").alias("t"))
-    sets = cut(sets)
+    wanted = broadcast_if_small(left, 224).select(at.alias("x")).select("x.*")
+    sets = cut(found.select("id", "line", "t").join(wanted, (F.col("id") == F.col("q")) & (F.col("line") == F.col("l")), "left_semi").groupBy("id", "line").agg(F.min("t").alias("t")))
     whole = lambda s: sets.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"), F.col("t").alias(f"{s}_t"))
     overlap = F.size(F.array_intersect("a_t", "b_t"))
     both = left.join(whole("a"), ["a", "a_line"]).join(whole("b"), ["b", "b_line"])
@@ -202,12 +210,13 @@ def links(docs: DataFrame, wide: int = 32) -> DataFrame:
     Lines that already hang together by their heads are not compared again, so a group of copies costs a
     star of links; every match between lines that don't is found.
     """
-    classes, _, postings, pairs, stars = _started(docs, wide)
-    edges = stars.select("a", "b")
-    roots = components(edges)
-    named = postings.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = cut(_with_all(named, named, pairs, F.col("a.root") != F.col("b.root")))
-    return edges.unionByName(_verified(docs, rest, classes, wide).select("a", "b"))
+    with scratch() as keep:
+        classes, _, postings, pairs, stars = _started(docs, wide)
+        edges = stars.select("a", "b")
+        roots = components(edges)
+        named = postings.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rest = cut(_with_all(named, named, pairs, F.col("a.root") != F.col("b.root")))
+        return keep(cut(edges.unionByName(_verified(docs, rest, classes, wide).select("a", "b"))))
 
 
 def _late(matches: DataFrame) -> DataFrame:
@@ -216,17 +225,19 @@ def _late(matches: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, wide: int = 4) -> DataFrame:
-    """doc_id, hash and removed (line numbers) of the documents that lose lines; docs: doc_id, hash, text.
+    """doc_id, hash and removed (line numbers) of the documents that lose lines, a written table; docs: doc_id, hash, text.
     ``wide``: the words of a line's signature."""
-    classes, repeated, postings, pairs, stars = _started(docs, wide)
-    settled = cut(_late(stars))
-    asking = postings.join(broadcast_if_small(settled.select("id").distinct(), F.lit(48)), "id", "left_anti")
-    late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), classes, wide)))
+    with scratch() as keep:
+        classes, repeated, postings, pairs, stars = _started(docs, wide)
+        settled = cut(_late(stars))
+        asking = postings.join(broadcast_if_small(settled, 64).select("id"), "id", "left_anti")
+        late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), classes, wide)))
 
-    both = repeated.select("id", "id2", "first", F.lit(False).alias("late")).unionByName(late.select("id", "id2", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(True).alias("late")))
-    judged = cut(both.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("late").alias("late")))
-    gone = _lines(docs).drop("line").join(broadcast_if_small(judged, F.lit(112)), ["id", "id2"]).filter(F.col("late") | (_order() != F.col("first")))
-    return gone.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("removed"))
+        none = F.lit(None).cast(repeated.schema["first"].dataType)
+        both = repeated.select("id", "id2", "first", F.lit(False).alias("late")).unionByName(late.select("id", "id2", none.alias("first"), F.lit(True).alias("late")))
+        judged = broadcast_if_small(cut(both.groupBy("id", "id2").agg(F.max("first").alias("first"), F.max("late").alias("late"))), 112)
+        gone = _lines(docs).drop("line").join(judged, ["id", "id2"]).filter(F.col("late") | (_order() != F.col("first")))
+        return keep(cut(gone.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("removed"))))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
@@ -234,8 +245,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n_line
     many lines the text had and lost. A column of ``docs`` that has one of these names gives way to it."""
     rest = [c for c in docs.columns if c not in (key, text, n_lines, n_removed)]
     slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), F.struct(F.lit(0).alias("__pad"), *rest).alias("rest"))
-    gone = cut(removals(slim.select("doc_id", "hash", "text")).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "removed"))
-    gone = broadcast_if_small(gone, 80 + 4 * F.size("removed"))
+    gone = broadcast_if_small(removals(slim.select("doc_id", "hash", "text")), 80 + 4 * F.size("removed")).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "removed")
     joined = slim.join(gone, slim["doc_id"].eqNullSafe(gone["d"]) & (slim["hash"] == gone["h"]), "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")

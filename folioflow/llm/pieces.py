@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from folioflow.llm.common import cut, small_batches, table
+from folioflow.llm.common import cut, scratch, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -211,12 +211,12 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", freq
     at most LONGEST code points, whatever the corpus."""
     spark = docs.sparkSession
     spaced = docs.select(F.explode(F.split(F.col(text), " ", -1)).alias("w")).filter(F.length("w").between(1, LONGEST - 1) & ~F.contains("w", F.lit(SPACE)))
-    counted = spaced.groupBy("w").count()
-    often = cut(counted.filter(F.col("count") > 1))  # a word that stands once is over that share only of a corpus of fewer words
-    total = often.agg(F.sum("count")).first()[0] or 0
-    chosen = cut(often.filter(F.col("count") > total / frequent).select(F.concat(F.lit(SPACE), "w").alias("word")))
-    edges = lattice(chosen.repartition("word"), piece_table(spark, vocabulary), vocabulary.longest)
-    found = fold_merges(edges, vocabulary.bytes).toArrow()
+    with scratch():
+        often = cut(spaced.groupBy("w").count().filter("count > 1"))  # a word that stands once is over that share only of a corpus of fewer words
+        total = often.agg(F.sum("count")).first()[0] or 0
+        chosen = cut(often.filter(F.col("count") > total / frequent).select(F.concat(F.lit(SPACE), "w").alias("word")))
+        edges = lattice(chosen.repartition("word"), piece_table(spark, vocabulary), vocabulary.longest)
+        found = fold_merges(edges, vocabulary.bytes).toArrow()
     return {w: np.array(ids, "<i4").tobytes() for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from folioflow.llm import lines
-from folioflow.llm.common import cut, small_batches, table
+from folioflow.llm.common import cut, scratch, small_batches, table
 from folioflow.llm.graph import components
 
 SHINGLE = 3
@@ -115,12 +115,13 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     """``docs`` with one row of each group, linked by fingerprints, or by 5-word shingles too if ``similar``:
     the one of the smallest key (null last), then of the smallest fingerprint, then of the smallest text hash; of rows that are equal
     in key and text the one whose other columns come first."""
-    rows, groups = near_duplicates(docs, text, key, similar)
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp", "hash")).alias("w")
-    winners = rows.join(groups.select("fp", "root"), "fp").groupBy("root").agg(best)
     at = [F.coalesce(F.col("w.key").cast("string"), F.lit("")).alias("at"), F.col("w.none").alias("none"), F.col("w.hash").alias("hash")]
+    with scratch() as keep:
+        rows, groups = near_duplicates(docs, text, key, similar)
+        winners = keep(cut(rows.join(groups.select("fp", "root"), "fp").groupBy("root").agg(best).select(*at)))
     own = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("at"), F.col(key).isNull().alias("none"), F.xxhash64(text).alias("hash"), F.struct(*docs.columns).alias("row"))
-    won = own.join(winners.select(*at), ["at", "none", "hash"], "left_semi")
+    won = own.join(winners, ["at", "none", "hash"], "left_semi")
     return won.groupBy("at", "none", "hash").agg(F.min("row").alias("row")).select("row.*")
 
 
