@@ -45,18 +45,36 @@ def is_upper(text: Column) -> Column:
     return text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
 
 
+SLICE = 512
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column], Column], kind: str) -> Column:
+    """``emit(state)`` (of the SQL type ``kind``) after each item, the state going from item to item by ``step``.
+
+    An array that grows item by item is copied each time; here only ``SLICE`` results grow so, and the
+    slices' arrays are put together at the end: the time follows the number of items.
+    """
+    none, nones = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+    at = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SLICE).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def one(state: Column, item: Column) -> Column:
+        return let(step(state["s"], item), lambda n: F.struct(n.alias("s"), F.concat(state["out"], F.array(emit(n))).alias("out")))
+
+    def many(state: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(items, k * SLICE + 1, F.lit(SLICE)), F.struct(state["s"].alias("s"), none.alias("out")), one)
+        return let(part, lambda p: F.struct(p["s"].alias("s"), F.concat(state["out"], F.array(p["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(at, F.struct(start.alias("s"), nones.alias("out")), many)["out"])
+
+
 def places(text: Column, pattern: Column) -> Column:
     """array<struct<s,e,t>>: where the pattern's matches stand (code points, end exclusive)."""
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.length(x["m"])
-        return F.when(x["m"].isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("t")))).alias("out"))
-        )
+    def found(m: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.struct(g.alias("g"), F.length(x).alias("m")))
+        ends = scan(pairs, F.lit(0), lambda at, x: at + x["g"] + x["m"], lambda at: at, "int")
+        return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("s"), e.alias("e"), x.alias("t")))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)").alias("out"))
-    return F.aggregate(pairs, nothing, step)["out"]
+    return let(matches, found)

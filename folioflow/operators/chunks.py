@@ -2,8 +2,9 @@
 
 A heading of the first level opens a chunk; a chunk closes once it has its words, unless the block that
 filled it is a heading or an image. The reset depends on the running count, so no window frame can say
-it; the fold is a higher-order ``aggregate`` on the book's array, without Python. The array of one book
-(kind and word count of each block) is the memory bound.
+it; the fold is a higher-order ``aggregate`` on the book's array of (place, kind, words), without Python,
+in time that follows the number of blocks. That array of one book is the memory bound: texts stay out of
+it, and the numbers go back to the blocks by a join on book and place.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.pytext import count_words, let
+from folioflow.functions.pytext import count_words, let, scan
 
 MAX_WORDS = 600
 MAX_WORDS_SERVICE = 400
@@ -22,16 +23,16 @@ def chunk_ids(blocks: Column, max_words: int) -> Column:
 
     def step(s: Column, b: Column) -> Column:
         opens = (b["kind"] == "heading1") & (s["n"] > 0)
-        chunk = s["chunk"] + opens.cast("int")
+        chunk = s["next"] + opens.cast("int")
         words = F.when(opens, F.lit(0)).otherwise(s["words"]) + b["words"]
         full = (words >= max_words) & ~b["kind"].isin("heading1", "heading2", "image")
         return F.struct(
-            (chunk + full.cast("int")).alias("chunk"), F.when(full, F.lit(0)).when(opens, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-            F.when(full, F.lit(0)).otherwise(words).alias("words"), F.concat(s["ids"], F.array(chunk)).alias("ids"),
+            chunk.alias("chunk"), (chunk + full.cast("int")).alias("next"), F.when(full, F.lit(0)).when(opens, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
+            F.when(full, F.lit(0)).otherwise(words).alias("words"),
         )
 
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.lit(0).alias("words"), F.expr("cast(array() as array<int>)").alias("ids"))
-    return F.aggregate(blocks, start, step)["ids"]
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("next"), F.lit(0).alias("n"), F.lit(0).alias("words"))
+    return scan(blocks, start, step, lambda s: s["chunk"], "int")
 
 
 def block_words(kind: Column, text: Column) -> Column:
@@ -39,14 +40,15 @@ def block_words(kind: Column, text: Column) -> Column:
 
 
 def chunk_blocks(blocks: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """``blocks`` (book_id, ord, kind, text, ...) with n_words and chunk_id."""
-    rest = [c for c in blocks.columns if c != "book_id"]
+    """``blocks`` (book_id, ord, kind, text, ...) with n_words and chunk_id; blocks of one place share a chunk."""
     worded = blocks.withColumn("n_words", block_words(F.col("kind"), F.col("text")))
-    books = worded.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in rest if c != "ord"], "n_words"))).alias("b"))
-    budget = F.transform("b", lambda x: F.struct(x["kind"].alias("kind"), x["n_words"].alias("words")))
-    numbered = books.withColumn("ids", chunk_ids(budget, max_words))
-    rows = numbered.select("book_id", F.explode(F.arrays_zip("b", "ids")).alias("x"))
-    return rows.select("book_id", *[F.col(f"x.b.{c}").alias(c) for c in rest], F.col("x.b.n_words").alias("n_words"), F.col("x.ids").alias("chunk_id"))
+    light = worded.select("book_id", F.struct("ord", "kind", F.col("n_words").alias("words")).alias("b"))
+    books = light.groupBy("book_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    numbered = books.select("book_id", "b", chunk_ids(F.col("b"), max_words).alias("ids"))
+    placed = numbered.select("book_id", F.explode(F.zip_with("b", "ids", lambda b, i: F.struct(b["ord"].alias("ord"), i.alias("chunk_id")))).alias("x"))
+    placed = placed.groupBy(F.col("book_id").alias("__book"), F.col("x.ord").alias("__ord")).agg(F.min("x.chunk_id").alias("chunk_id"))
+    same = worded["book_id"].eqNullSafe(placed["__book"]) & (worded["ord"] == placed["__ord"])
+    return worded.join(placed, same).drop("__book", "__ord")
 
 
 def markdown(kind: Column, text: Column) -> Column:

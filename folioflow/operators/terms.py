@@ -70,12 +70,14 @@ def annotations(text: Column, terms: dict[str, str] = ANNOTATIONS, idempotent: b
 def annotate(text: Column, found: Column) -> Column:
     """The text with `` (English)`` after each found occurrence."""
 
-    def step(state: Column, x: Column) -> Column:
-        piece = F.concat(state["out"], F.substr(text, state["at"] + 1, x["e"] - state["at"]), F.lit(" ("), x["en"], F.lit(")"))
-        return F.struct(x["e"].alias("at"), piece.alias("out"))
-
     ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["e"].alias("e"), x["en"].alias("en"))))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+
+    def pieces(all_: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(all_, i - 1)["e"], F.lit(0))
+        parts = F.transform(all_, lambda x, i: F.concat(F.substr(text, before(i) + 1, x["e"] - before(i)), F.lit(" ("), x["en"], F.lit(")")))
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.coalesce(F.element_at(all_, -1)["e"], F.lit(0)) + 1))
+
+    return let(ordered, lambda all_: F.when(F.size(all_) > 0, pieces(all_)).otherwise(text))
 
 
 def change_log(found: Column) -> Column:

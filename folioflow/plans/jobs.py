@@ -13,6 +13,8 @@ from folioflow.functions.fixed_values import CHUNK_SEPARATOR
 from folioflow.operators import assemble, blocks, chunks, metrics, terms
 from folioflow.plans.backends import Backend, identity
 from folioflow.plans.translate import pending, transform_chunks
+from folioflow.sources.shared import delete
+from folioflow.sources.shared import exists as _exists
 
 
 def chunked_books(raw: DataFrame, max_words: int = chunks.MAX_WORDS, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -50,15 +52,9 @@ def status_table(registry: DataFrame, stored: DataFrame, totals: DataFrame, aliv
     return rows.withColumns({"status": state, "percent": metrics.percent(F.col("done"), F.col("total"))}).drop("live")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def clear(spark: SparkSession, store: str) -> None:
     """Forget a run."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(store)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, store)
 
 
 def annotate_file(path: str, spark: SparkSession, preview: bool = False) -> list[str]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +16,7 @@ from folioflow.operators import assemble, blocks, chunks, cleanup, code, guards,
 from folioflow.plans import backends, translate
 from folioflow.sources import fixtures, state
 from folioflow.sources.fixtures import DIRTY_DOCS, DIRTY_LINES, table
+from folioflow.sources.shared import shared_folder
 from folioflow.streaming import chunk_stream
 
 BUDGET = 60
@@ -218,7 +217,7 @@ r AS (SELECT doc_id, pos, n_words, 0 AS chunk_id, CASE WHEN n_words >= {BUDGET}
 SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, count(*) AS n_blocks, CAST(sum(n_words) AS BIGINT) AS n_words FROM r GROUP BY ALL""",
 )
 def stream_chunks(spark, d):
-    shared = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    shared = shared_folder(spark)
     chunk_stream.start(chunk_stream.read_stream(spark, f"{d}/documents.parquet"), f"{shared}/chunks", f"{shared}/state", BUDGET).awaitTermination()
     return spark.read.parquet(f"{shared}/chunks")
 
@@ -509,11 +508,11 @@ def log_tail(spark, d):
     return table(spark, d, "documents").select("doc_id", metrics.log_tail(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("tail_md5"))
 
 
-FILES = "f AS (SELECT doc_id, replace(substr(text, 1, 70), ' ', CASE WHEN doc_id % 2 = 0 THEN '_' ELSE ' ' END) || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN ' (1).pdf' ELSE '' END AS name FROM documents)"
+FILES = "f AS (SELECT doc_id, replace(text, ' ', CASE WHEN doc_id % 2 = 0 THEN '_' ELSE ' ' END) || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN ' (1).pdf' ELSE '' END AS name FROM documents)"
 
 
 def _files(spark, d):
-    name = F.replace(F.substring("text", 1, 70), F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "_").otherwise(" "))
+    name = F.replace("text", F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "_").otherwise(" "))
     return table(spark, d, "documents").select("doc_id", F.concat(name, F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, " (1).pdf").otherwise("")).alias("name"))
 
 
@@ -527,11 +526,15 @@ def file_title(spark, d):
     return _files(spark, d).select("doc_id", metrics.title_of_file(F.col("name")).alias("title"))
 
 
-@query("image_urls", "SELECT doc_id, '![a b](/data/$1/' || doc_id || '/images/p.png) ' || substr(text, 1, 30) || '![](/data/$1/' || doc_id || '/images/q.png)' AS text FROM documents")
+@query(
+    "image_urls",
+    "SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, '![a b](/data/$1/' || doc_id || '/images/p.png) ' || text || '![](/data/$1/' || doc_id || '/images/q.png)' AS t FROM documents)",
+)
 def image_urls(spark, d):
-    text = F.concat(F.lit("![a b](images/p.png) "), F.substring("text", 1, 30), F.lit("![](images/q.png)"))
+    text = F.concat(F.lit("![a b](images/p.png) "), F.col("text"), F.lit("![](images/q.png)"))
     prefix = F.concat(F.lit("/data/$1/"), F.col("doc_id").cast("string"))
-    return table(spark, d, "documents").select("doc_id", metrics.rewrite_images(text, prefix).alias("text"))
+    rows = table(spark, d, "documents").select("doc_id", metrics.rewrite_images(text, prefix).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 @query("word_count", f"SELECT doc_id, CAST({s_words('text')} AS BIGINT) AS n_words FROM documents")
@@ -559,3 +562,15 @@ def translate_glossary(spark, d):
     text = F.concat(F.get(terms_, (F.col("doc_id") % len(GLOSSARY)).cast("int")), F.lit(" and coupling: "), F.col("text"))
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chunk_id"), text.alias("text"))
     return translate.transform_chunks(rows, backends.glossary).select("book_id", F.md5("translated").alias("out_md5"), "flag")
+
+
+@query(
+    "translate_in_order",
+    f"""WITH t AS (SELECT conv_id AS book_id, turn AS chunk_id, text FROM conversations), c AS (SELECT book_id, chunk_id, text, {s_strip('text')} <> '' AS prose, {S_CLEAN} AS clean FROM t),
+a AS (SELECT *, CASE WHEN prose THEN clean ELSE text END AS answer FROM c), p AS (SELECT *, lag(answer) OVER (PARTITION BY book_id ORDER BY chunk_id) AS prev FROM a)
+SELECT book_id, chunk_id, md5(answer) AS out_md5, CASE WHEN prose THEN md5({q(SYSTEM_PROMPT)} || chr(10) || chr(10) || CASE WHEN {s_strip('prev')} <> '' THEN {q(CONTEXT_LABEL)} || chr(10) || right(prev, 400) || chr(10) || chr(10) ELSE '' END
+  || {q(SOURCE_LABEL)} || chr(10) || text || chr(10) || chr(10) || {q(ANSWER_LABEL)}) END AS prompt_md5 FROM p""",
+)
+def translate_in_order(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chunk_id"), "text")
+    return translate.translate_in_order(rows, shared_folder(spark)).select("book_id", "chunk_id", F.md5("answer").alias("out_md5"), F.md5("prompt").alias("prompt_md5"))

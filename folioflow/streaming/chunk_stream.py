@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.operators.chunks import chunk_ids
-from folioflow.functions.pytext import count_words
+from folioflow.functions.pytext import count_words, scan
 
 
 def chunk_documents(docs: DataFrame, max_words: int) -> DataFrame:
@@ -15,14 +15,19 @@ def chunk_documents(docs: DataFrame, max_words: int) -> DataFrame:
     explode a document, so it runs on a stream as it runs on a table."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("paragraph").alias("kind"), count_words(x).alias("words")))
     packed = docs.select("doc_id", lines.alias("b")).select("doc_id", "b", chunk_ids(F.col("b"), max_words).alias("ids"))
+    # numbers rise, so a chunk is a run: it ends where the next number differs, and its sum is a difference of running sums
+    upto = scan(F.col("b"), F.lit(0).cast("long"), lambda n, x: n + x["words"], lambda n: n, "bigint")
+    summed = packed.select("doc_id", "ids", upto.alias("upto"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("ids")), lambda k: F.coalesce(F.get("ids", k) != F.get("ids", k - 1), F.lit(True)))
+    ended = summed.select("doc_id", "ids", "upto", ends.alias("ends"))
     each = F.transform(
-        F.sequence(F.lit(0), F.array_max("ids")),
-        lambda c: F.struct(
-            c.alias("chunk_id"), F.size(F.filter("ids", lambda i: i == c)).cast("long").alias("n_blocks"),
-            F.aggregate(F.filter("b", lambda x, i: F.get("ids", i) == c), F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("n_words"),
+        "ends",
+        lambda e, k: F.struct(
+            F.get("ids", e - 1).alias("chunk_id"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("long").alias("n_blocks"),
+            (F.get("upto", e - 1) - F.coalesce(F.get("upto", F.get("ends", k - 1) - 1), F.lit(0).cast("long"))).alias("n_words"),
         ),
     )
-    return packed.select("doc_id", F.explode(each).alias("c")).select("doc_id", "c.*")
+    return ended.select("doc_id", F.explode(each).alias("c")).select("doc_id", "c.*")
 
 
 def start(stream: DataFrame, store: str, checkpoint: str, max_words: int) -> StreamingQuery:

@@ -7,15 +7,17 @@ import json
 import random
 import re
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions.fixed_values import ANNOTATIONS
-from folioflow.functions.pytext import count_words, split_lines, strip
+from folioflow.functions.fixed_values import ANNOTATIONS, CONTEXT_LABEL, MARKERS
+from folioflow.functions.pytext import count_words, places, split_lines, strip
 from folioflow.operators import blocks, chunks, cleanup, code, guards, images, metrics, terms
 from folioflow.plans import backends, jobs, translate
 from folioflow.sources import state
+from folioflow.streaming import chunk_stream
 
 
 def column(spark, values, f, kind="string"):
@@ -233,6 +235,58 @@ def test_the_server_backend(spark, server):
     assert got == {0: ("HELLO THERE", None), 1: ("", None)}
 
 
+def test_flagged_answers_are_asked_for_again_and_a_failed_second_pass_keeps_the_first(spark):
+    marker = MARKERS[0]
+    asked = []
+
+    def varying(rows, prompt, text, out):
+        asked.append(prompt)
+        first = F.when(F.col(text).contains("bad"), F.concat(F.col(text), F.lit(" " + marker))).otherwise(F.upper(text))
+        return rows.withColumn(out, F.when(F.col(prompt).isNotNull(), first if len(asked) == 1 else F.lower(text)))
+
+    varying.varies = True
+
+    def failing(rows, prompt, text, out):
+        return rows.withColumn(out, F.when(F.col(text) != "GOOD", F.concat(F.lit("fixed "), F.col(text))))
+
+    rows = spark.createDataFrame([("b", 0, "Good"), ("b", 1, "Some bad"), ("b", 2, " ")], "book_id string, chunk_id int, text string")
+    got = {r.chunk_id: (r.translated, r.flag) for r in translate.transform_chunks(rows, varying, failing).collect()}
+    assert len(asked) == 2 and got == {0: ("GOOD", None), 1: ("fixed some bad", None), 2: (" ", None)}
+
+
+def test_whole_books_in_order(spark, tmp_path):
+    def echo(rows, prompt, text, out):  # what stood before, from the prompt's context
+        before = F.regexp_extract(prompt, rf"(?s){re.escape(CONTEXT_LABEL)}\n(.*?)\n\n", 1)
+        return rows.withColumn(out, F.concat(F.col(text), F.lit(" after "), F.length(before).cast("string")))
+
+    rows = [(b, k, f"{b} text {k}" if k != 2 else "```\nx\n```") for b in "pqr" for k in range({"p": 4, "q": 1, "r": 3}[b])]
+    frame = spark.createDataFrame(rows, "book_id string, chunk_id int, text string").withColumn("images", F.expr("array(named_struct('frac', 1.0D, 'md', '![i](i.png)'))"))
+    store = f"{tmp_path}/store"
+    want, before = {}, {}
+    for b, k, text in rows:
+        want[b, k] = before[b] = f"{text} after {len(before.get(b, ''))}" if k != 2 else text
+    part = translate.translate_in_order(frame.filter("chunk_id < 2"), store, echo)
+    assert {(r.book_id, r.chunk_id): r.answer for r in part.collect()} == {k: v for k, v in want.items() if k[1] < 2}
+    whole = translate.translate_in_order(frame, store, echo).collect()
+    assert {(r.book_id, r.chunk_id): r.answer for r in whole} == want and len(whole) == len(rows)
+    assert all(r.translated.endswith("![i](i.png)") for r in whole)
+    assert translate.translate_in_order(frame.limit(0), f"{tmp_path}/none").count() == 0
+
+
+def test_long_books_and_texts_take_linear_time(spark):
+    n = 200_000
+    blocks_ = spark.range(n).select(F.lit(1).alias("book_id"), F.col("id").cast("int").alias("ord"), F.lit("paragraph").alias("kind"), F.lit("some five words stand here").alias("text"))
+    began = time.perf_counter()
+    rows = chunks.chunk_blocks(blocks_, 10).agg(F.max("chunk_id"), F.count("*"), F.countDistinct("chunk_id")).first()
+    assert tuple(rows) == (n // 2 - 1, n, n // 2)
+    text = spark.range(1).select(F.lit("ab 12, " * 100_000).alias("t"))
+    found = text.select(places(F.col("t"), F.lit("[0-9]+")).alias("p")).selectExpr("size(p)", "p[99999].s", "p[99999].t").first()
+    assert tuple(found) == (100_000, 7 * 99_999 + 3, "12")
+    streamed = chunk_stream.chunk_documents(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a b\n" * 100_000).alias("text")), 4)
+    assert tuple(streamed.agg(F.count("*"), F.sum("n_words"), F.sum("n_blocks")).first()) == (50_001, 200_000, 100_001)
+    assert time.perf_counter() - began < 60
+
+
 def test_files(spark, tmp_path):
     book = tmp_path / "book.md"
     book.write_text("Перша сага тут.", encoding="utf-8")
