@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.pytext import let
+from folioflow.sources.shared import delete, shared_folder
+
+__all__ = ["GAP", "WORD", "broadcast_if_small", "cut", "let", "n_rows", "n_words", "scratch", "shared_folder", "small_batches", "table", "text_or_empty", "words"]
+
 #: A word: a run of anything but space, tab, newline, VT, FF and CR (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 #: The white space between words.
@@ -22,18 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that the session names in ``spark.checkpoint.dir``, which all executors share.
-    Only a session in one process, as in tests, gets a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp()
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-
-
 #: The folders of the tables written in the innermost ``scratch``, or None outside of any.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("_WRITTEN", default=None)
 
@@ -41,21 +31,28 @@ _WRITTEN: ContextVar[list[str] | None] = ContextVar("_WRITTEN", default=None)
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and the rows
     survive lost executors. ``scratch`` clears what is no longer needed; who sets the folder clears the rest
-    after the session."""
+    after the session. The rows are counted on the way."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(folder)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(folder)
     if (written := _WRITTEN.get()) is not None:
         written.append(folder)
     out = spark.read.schema(df.schema).parquet(folder)
-    out._folder = folder
+    out._folder, out._rows = folder, seen.get["rows"]
     return out
 
 
+def n_rows(df: DataFrame) -> int:
+    """The rows of a table that ``cut`` wrote, without a job."""
+    return df._rows
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """What ``cut`` writes inside is deleted at the end, but for the tables that went through the function given.
-    Only for code whose result doesn't read the others: they are gone when it is used."""
+    Only for code whose result doesn't read the others: they are gone when it is used. Spark drops the files
+    of their shuffles when the driver collects its garbage, so that is asked for."""
     outer, written, kept = _WRITTEN.get(), [], []
     token = _WRITTEN.set(written)
     spark = SparkSession.active()
@@ -71,8 +68,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         if outer is not None:
             outer += kept
         for folder in set(written) - set(kept):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
+        spark._jvm.System.gc()
 
 
 #: The most bytes of a table that is broadcast after its size was measured.
@@ -82,15 +79,10 @@ BROADCAST_BYTES = 32 << 20
 def broadcast_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     """``df`` (a written table) marked for broadcast if its measured size allows it; as it is, for a join
     by shuffle, if not. ``row_bytes``: what a row takes in memory."""
-    total = row_bytes * df.count() if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    total = row_bytes * n_rows(df) if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

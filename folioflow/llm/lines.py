@@ -38,7 +38,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import WORD, broadcast_if_small, cut, let, scratch, table, words
-from folioflow.llm.graph import components
 
 SHINGLE = 5
 NEED, OF = 4, 5  # the similarity as a fraction
@@ -163,35 +162,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) ->
     The token sets of all lines asked for are written where they are found; what meets first are parity
     signatures of ``wide`` x 64 bits, and only pairs that these don't rule out meet with their token sets.
     """
-    end = lambda s: F.struct(F.col(s).alias("q"), F.col(f"{s}_doc").alias("doc"))
-    asked = cut(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct())
-    asked = broadcast_if_small(asked, 64)
-    doc = F.coalesce("doc_id", F.lit(_LAST))
-    near = docs.join(asked.select(F.col("doc").alias("d")), doc == F.col("d"), "left_semi")
-    found = _lines(near).withColumn("d", doc).join(asked, (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
-    line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
-    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line"), classes).alias("t")))
-
-    row = ["row", "id", "doc", "line"]
-    word = F.pmod(F.shiftright("x", 6), F.lit(wide)).cast("int").alias("w")
-    words_ = found.select(*row, F.size("t").alias("n"), F.explode("t").alias("x")).groupBy(*row, "n", word).agg(F.bit_xor(_bit(F.col("x"))).alias("bits"))
-    first = words_.groupBy("id", "doc").agg(F.min(F.struct("line", "row", "n")).alias("x"), F.collect_list(F.struct("row", "w", "bits")).alias("all"))
-    own = F.map_from_entries(F.transform(F.filter("all", lambda y: y["row"] == F.col("x.row")), lambda y: F.struct(y["w"], y["bits"])))
-    sig = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
-    signed = cut(first.withColumn("m", own).select("id", "doc", "x.line", "x.n", sig.alias("sig")))
-    signed = broadcast_if_small(signed, 144 + 8 * wide)
-    side = lambda s: signed.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "sig")])
-    differ = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = pairs.join(side("a"), ["a", "a_doc"]).join(side("b"), ["b", "b_doc"]).filter((NEED + OF) * differ <= (OF - NEED) * (F.col("a_n") + F.col("b_n")))
-    left = cut(left.select("a", "b", "a_line", "b_line"))
-
-    at = F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("a_line").alias("l")), F.struct(F.col("b").alias("q"), F.col("b_line").alias("l"))))
-    wanted = broadcast_if_small(left, 224).select(at.alias("x")).select("x.*")
-    sets = cut(found.select("id", "line", "t").join(wanted, (F.col("id") == F.col("q")) & (F.col("line") == F.col("l")), "left_semi").groupBy("id", "line").agg(F.min("t").alias("t")))
-    whole = lambda s: sets.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"), F.col("t").alias(f"{s}_t"))
-    overlap = F.size(F.array_intersect("a_t", "b_t"))
-    both = left.join(whole("a"), ["a", "a_line"]).join(whole("b"), ["b", "b_line"])
-    return cut(both.filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t"))).select("a", "b", "a_line", "b_line"))
+    with scratch() as keep:
+        end = lambda s: F.struct(F.col(s).alias("q"), F.col(f"{s}_doc").alias("doc"))
+        asked = cut(pairs.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct())
+        asked = broadcast_if_small(asked, 64)
+        doc = F.coalesce("doc_id", F.lit(_LAST))
+        near = docs.join(asked.select(F.col("doc").alias("d")), doc == F.col("d"), "left_semi")
+        found = _lines(near).withColumn("d", doc).join(asked, (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
+        line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
+        found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line"), classes).alias("t")))
+
+        row = ["row", "id", "doc", "line"]
+        word = F.pmod(F.shiftright("x", 6), F.lit(wide)).cast("int").alias("w")
+        words_ = found.select(*row, F.size("t").alias("n"), F.explode("t").alias("x")).groupBy(*row, "n", word).agg(F.bit_xor(_bit(F.col("x"))).alias("bits"))
+        once = words_.groupBy("id", "doc", "w").agg(F.min("bits").alias("bits"), F.min("line").alias("line"), F.min("n").alias("n"))  # alike in all rows of an id
+        first = once.groupBy("id", "doc").agg(F.min("line").alias("line"), F.min("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+        sig = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
+        signed = cut(first.select("id", "doc", "line", "n", sig.alias("sig")))
+        signed = broadcast_if_small(signed, 144 + 8 * wide)
+        side = lambda s: signed.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "sig")])
+        differ = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        left = pairs.join(side("a"), ["a", "a_doc"]).join(side("b"), ["b", "b_doc"]).filter((NEED + OF) * differ <= (OF - NEED) * (F.col("a_n") + F.col("b_n")))
+        left = cut(left.select("a", "b", "a_line", "b_line"))
+
+        at = F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("a_line").alias("l")), F.struct(F.col("b").alias("q"), F.col("b_line").alias("l"))))
+        wanted = broadcast_if_small(left, 224).select(at.alias("x")).select("x.*")
+        sets = cut(found.select("id", "line", "t").join(wanted, (F.col("id") == F.col("q")) & (F.col("line") == F.col("l")), "left_semi").groupBy("id", "line").agg(F.min("t").alias("t")))
+        whole = lambda s: sets.select(F.col("id").alias(s), F.col("line").alias(f"{s}_line"), F.col("t").alias(f"{s}_t"))
+        overlap = F.size(F.array_intersect("a_t", "b_t"))
+        both = left.join(whole("a"), ["a", "a_line"]).join(whole("b"), ["b", "b_line"])
+        return keep(cut(both.filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t"))).select("a", "b", "a_line", "b_line")))
 
 
 def _started(docs: DataFrame, wide: int) -> tuple[Column, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -207,14 +207,14 @@ def links(docs: DataFrame, wide: int = 32) -> DataFrame:
     """a, b: matches among line ids that join all lines which a chain of matches joins; docs: doc_id, hash, text.
     ``wide``: the words of a line's signature.
 
-    Lines that already hang together by their heads are not compared again, so a group of copies costs a
-    star of links; every match between lines that don't is found.
+    Lines that match the same earliest line hang together by it and are not compared again, so a group of
+    copies costs a star of links; every match between lines that don't is found.
     """
     with scratch() as keep:
         classes, _, postings, pairs, stars = _started(docs, wide)
         edges = stars.select("a", "b")
-        roots = components(edges)
-        named = postings.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        roots = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))  # b was compared with the earliest line a
+        named = postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         rest = cut(_with_all(named, named, pairs, F.col("a.root") != F.col("b.root")))
         return keep(cut(edges.unionByName(_verified(docs, rest, classes, wide).select("a", "b"))))
 
