@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table, text_or_empty
+from folioflow.functions.pytext import scan
+from folioflow.llm.common import let, table, text_or_empty
 
 ACCEPT = 0.5
 CONTEXT = 40  # code points before a span that are searched for context words
+NEAR = 20  # matches before a span that may reach into them: none is shorter than two code points
 BASE = ("email", "ip", "card", "phone")
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -116,29 +118,26 @@ def _spans(kind: str, text: Column) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
-    def place(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(
-        F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(matches)), matches,
-        lambda g, m: F.struct(g.alias("gap"), m.alias("text")),
-    )
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
-    placed = F.aggregate(pairs, empty, place)["out"]
-    kept = F.filter(placed, lambda s: _valid(kind, s["text"]))
-
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
+    def confirmed(gaps: Column, found: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("n")))
+        ends = scan(pairs, F.lit(0), lambda at, x: at + x["n"], lambda at: at, "int")
+        placed = F.zip_with(F.transform(ends, lambda e, i: F.struct(e.alias("end"), i.alias("i"))), found, lambda x, m: F.struct((x["end"] - F.length(m)).alias("start"), x["end"].alias("end"), x["i"].alias("i"), m.alias("text")))
+        return F.transform(F.filter(placed, lambda x: _valid(kind, x["text"])), lambda x: scored(gaps, found, x))
+
+    def scored(gaps: Column, found: Column, x: Column) -> Column:
+        # the last CONTEXT characters before a span, from the pieces before it: a piece of the text by its
+        # place would have to be counted off from the text's beginning each time
+        first = F.greatest(x["i"] - NEAR, F.lit(0))
+        near = F.zip_with(F.slice(gaps, first + 1, x["i"] - first), F.slice(found, first + 1, x["i"] - first), lambda g, m: F.concat(g, m))
+        before = F.lower(F.right(F.concat(F.array_join(near, ""), F.get(gaps, x["i"])), F.lit(CONTEXT)))
         total = F.lit(score) + F.when(before.rlike(words), BOOST).otherwise(0.0)
         return F.struct(
-            s["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-            s["text"].alias("text"), F.least(total, F.lit(1.0)).alias("score"),
+            x["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"),
+            x["text"].alias("text"), F.least(total, F.lit(1.0)).alias("score"),
         )
 
-    return F.when(text.rlike(guard), F.transform(kept, scored)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    spans = let(matches, lambda found: let(gaps, lambda g: confirmed(g, found)))
+    return F.when(text.rlike(guard), spans).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,15 +159,20 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``pii`` replaced by its kind in brackets (overlaps: the first span wins)."""
     t = text_or_empty(text)
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substr(t, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(fresh, s["end"]).otherwise(state["at"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
+    def fresh(spans: Column) -> Column:
+        """The spans that begin where the last one taken has ended."""
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("new"))
+        step = lambda state, x: F.struct(F.when(x["start"] >= state["at"], x["end"]).otherwise(state["at"]).alias("at"), (x["start"] >= state["at"]).alias("new"))
+        marked = F.zip_with(spans, scan(spans, start, step, lambda state: state["new"], "boolean"), lambda x, new: F.when(new, F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
+        return F.filter(marked, lambda x: x.isNotNull())
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return docs.withColumn(
-        text, F.when(F.col(text).isNotNull(), F.aggregate("pii", start, step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1))))
-    )
+    def pieces(spans: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(spans, i - 1)["e"], F.lit(0))
+        parts = F.transform(spans, lambda x, i: F.concat(F.substr(t, before(i) + 1, x["s"] - before(i)), F.lit("["), F.upper(x["k"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), F.substr(t, F.coalesce(F.element_at(spans, -1)["e"], F.lit(0)) + 1))
+
+    clean = let(fresh(F.col("pii")), lambda spans: F.when(F.size(spans) > 0, pieces(spans)).otherwise(t))
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), clean))
 
 
 def _joined(spans: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from folioflow.llm import pii
 
@@ -70,3 +71,11 @@ def test_an_account_number_ends_where_its_country_says(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [s.text for s in r.pii if s.kind == "iban"] for r in pii.find_pii(docs).collect()}
     assert got == {i: [numbers[i // 4]] for i in range(len(texts))}
+
+
+def test_a_text_of_many_matches_takes_linear_time(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "a.b@cd.ef, " * n)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = pii.find_pii(docs).selectExpr("size(pii)", f"pii[{n - 1}].start", "pii[0].score").first()
+    assert (row[0], row[1]) == (n, 11 * (n - 1)) and time.perf_counter() - began < 60
