@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import GAP, WORD, cut, table, text_or_empty, words
+from folioflow.llm.common import GAP, WORD, cut, let, table, text_or_empty, words
 
 BUCKETS = 65536
 TRUSTED = 20000
@@ -64,6 +64,16 @@ def ratios(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFram
     return counts.select("bucket", F.log((F.col("target") + PRIOR) / (expected + PRIOR)).alias("llr"))
 
 
+def _windows(h: Column) -> Column:
+    """A hash of each ``WINDOW`` = 8 hashes in a row, by doubling: of 2, of 4, of 8."""
+
+    def double(x: Column, by: int) -> Column:
+        n = F.size(x) - by
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(1 + by), n), lambda a, b: F.xxhash64(a, b))
+
+    return let(double(h, 1), lambda two: let(double(two, 2), lambda four: double(four, 4)))
+
+
 def _statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with words and the base columns."""
     t = text_or_empty()
@@ -83,7 +93,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
     h = F.col(f"{_P}h")
     windows = hashed.withColumn(
         f"{_P}win",
-        F.when(F.size(h) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))),
+        F.when(F.size(h) > WINDOW, _windows(h)),
     )
     win = F.col(f"{_P}win")
     ordered = windows.withColumn(
