@@ -118,16 +118,17 @@ def judge(docs: DataFrame, table_of_ratios: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed, llr (mean per n-gram) and kept of every row."""
     rows = _statistics(docs.select("doc_id", "text").withColumn(f"{_P}id", F.monotonically_increasing_id()))
     keys = [f"{_P}id", "doc_id", *BASE]
-    table_ = F.broadcast(table_of_ratios)  # at most 2 * BUCKETS rows
+    # at most 2 * BUCKETS rows; in whole millionths, so that sums are exact in any order and cheap
+    table_ = F.broadcast(table_of_ratios.select("bucket", F.round(F.col("llr") * 1_000_000).cast("long").alias("llr")))
     looked = (
         _ngrams(rows, *keys)
         .join(table_.select(F.col("bucket").alias("one"), F.col("llr").alias("llr1")), "one", "left")
         .join(table_.select(F.col("bucket").alias("two"), F.col("llr").alias("llr2")), "two", "left")
     )
-    total = F.coalesce("llr1", F.lit(0.0)) + F.coalesce("llr2", F.lit(0.0))
-    scored = looked.groupBy(*keys).agg(F.sum(F.round(total, 6).cast("decimal(18,6)")).alias("sum"), (F.count("one") + F.count("two")).alias("n"))
+    total = F.coalesce("llr1", F.lit(0).cast("long")) + F.coalesce("llr2", F.lit(0).cast("long"))
+    scored = looked.groupBy(*keys).agg(F.sum(total).alias("sum"), (F.count("one") + F.count("two")).alias("n"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    llr = F.when(F.col("n") > 0, F.col("sum").cast("double") / F.col("n")).otherwise(0.0)
+    llr = F.when(F.col("n") > 0, F.col("sum") / 1e6 / F.col("n")).otherwise(0.0)
     return scored.select("doc_id", *BASE, failed.alias("base_failed"), llr.alias("llr")).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
 
 
