@@ -5,7 +5,8 @@ folded streams are one layout. A host's distinct layouts are aligned one after a
 far: what both have stays, what one lacks becomes optional, texts that differ become slots. The wrapper is
 thus a union-free regular expression over tags, slots, constants, optional and repeated groups, learned from
 all pages of the host. To extract, a page's folded stream is aligned with its host's wrapper. On a page with
-an article element the containers of a text, their class and id words decide; on others a text goes too if
+an article element the containers of a text, their class and id words decide (words on the only article
+don't take it away); on others a text goes too if
 it is constant on ``SEEN`` distinct pages at least: in its slot over the host's pages, or in its containers
 over the pages of a layout. Blocks are joined by newlines in page order.
 
@@ -15,6 +16,9 @@ with a third of all pages is no hot spot. Layouts are merged in a tree, ``FAN``
 pages by host as a plain equi-join: broadcast if the table was measured to be small, otherwise a sort-merge
 join whose hot hosts Spark splits. Pages are read whole.
 
+Time follows the length of a page, whatever its depth: elements are linked to their parents, alignment goes
+by unique keys.
+
 Defined cases: null or empty html gives empty text; a page without a readable host uses the wrapper of
 the empty host; cut-off tags, comments and scripts end with the page; unknown end tags are ignored;
 repeated rows get equal texts.
@@ -25,6 +29,8 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -40,6 +46,8 @@ SEEN = 3  # pages a text must be constant on
 HELD = 2000  # layouts counted together before they are passed on
 FAN = 64  # wrappers merged at once
 LONGEST_GROUP = 12  # items of a repeated group
+DEPTH = 16  # rounds of unique keys
+BLOCK = 128  # keys that are aligned exactly
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp"}
@@ -79,44 +87,65 @@ def tokens(page: str) -> list[tuple[str, str]]:
         out.append((f"<{name} {names}>" if names else f"<{name}>", ""))
 
 
-def contexts(stream: list[tuple[str, str]]) -> list[tuple[str, ...]]:
-    """The open elements of each token, outermost first."""
-    stack: list[tuple[str, str]] = []
+def containers(keys: list[str]) -> tuple[list[int], list[tuple[int, str]]]:
+    """The innermost open element of each token, as an index, and the elements: (parent, key), parents first."""
+    elements = [(-1, "")]
+    stack: list[tuple[str, int]] = []
+    open_: Counter = Counter()
     out = []
-    for key, _ in stream:
+
+    def leave() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
+
+    for key in keys:
         if key[:2] == "</":
             name = key[2:-1]
-            if any(x == name for x, _k in stack):
-                while stack.pop()[0] != name:
+            if open_[name]:
+                while leave() != name:
                     pass
         elif key != "T":
             name = key[1:-1].split(" ", 1)[0]
             if name not in INLINE:
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] in ("p", name) and name in ("p", "li", "tr", "td", "th", "dt", "dd", "option")):
-                    if not any(x == "p" for x, _k in stack) and stack[-1][0] in INLINE:
+                    if not open_["p"] and stack[-1][0] in INLINE:
                         break
-                    stack.pop()
+                    leave()
             if name not in VOID:
-                stack.append((name, key))
-        out.append(tuple(k for _x, k in stack))
-    return out
+                elements.append((stack[-1][1] if stack else 0, key))
+                stack.append((name, len(elements) - 1))
+                open_[name] += 1
+        out.append(stack[-1][1] if stack else 0)
+    return out, elements
 
 
-def verdict(context: tuple[str, ...], constant: bool, with_article: bool) -> bool:
-    """Whether a text in these open elements is main text."""
-    inside = False
-    for key in context:
-        name, _, names = key[1:-1].partition(" ")
-        if name in SIDE or (names and name not in ("html", "body") and SIDE_WORDS.search(names)):
-            return False
-        if not inside and (name == "header" or re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", names)):
-            return False
-        inside = inside or name in ARTICLE or "main" in names.split()
-    return inside if with_article else not constant
+def _is_article(key: str) -> bool:
+    name, _, names = key[1:-1].partition(" ")
+    return name in ARTICLE or "main" in names.split()
 
 
-def has_article(stream: list[tuple[str, str]]) -> bool:
-    return any(k[0] == "<" and k[1] != "/" and (k[1:-1].split(" ")[0] in ARTICLE or "main" in k[1:-1].split(" ")[1:]) for k, _ in stream)
+def _is_side(key: str) -> bool:
+    name, _, names = key[1:-1].partition(" ")
+    return name in SIDE or bool(names and name not in ("html", "body") and SIDE_WORDS.search(names))
+
+
+def verdicts(elements: list[tuple[int, str]]) -> tuple[list[tuple[bool, bool]], bool]:
+    """Whether each element is beside the main text and whether it is inside an article, and whether the page has one.
+
+    Class words are a hint: they take an article away if the page has another without them.
+    """
+    articles = [key for _, key in elements[1:] if _is_article(key)]
+    unsure = bool(articles) and all(_is_side(key) for key in articles)
+    out = [(False, False)]
+    for parent, key in elements[1:]:
+        side, inside = out[parent]
+        name, _, names = key[1:-1].partition(" ")
+        own = _is_article(key)
+        side = side or (_is_side(key) and not (unsure and own and not inside))
+        side = side or (not inside and (name == "header" or bool(re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", names))))
+        out.append((side, inside or own))
+    return out, bool(articles)
 
 
 def fold(keys: list[str]) -> list[tuple[str, list[int]]]:
@@ -140,8 +169,57 @@ def fold(keys: list[str]) -> list[tuple[str, list[int]]]:
     return items
 
 
-def _aligned(a: list[str], b: list[str]):
-    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+def _anchors(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of keys that stand once in either range, the longest run that ascends in both."""
+    in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+    at = {k: j for j, k in enumerate(b[b0:b1], b0) if in_b[k] == 1}
+    tails: list[int] = []
+    last: list[int] = []
+    found: list[tuple[int, int, int]] = []  # place in a, place in b, the one before
+    for i in range(a0, a1):
+        j = at.get(a[i])
+        if j is None or in_a[a[i]] != 1:
+            continue
+        k = bisect_left(tails, j)
+        found.append((i, j, last[k - 1] if k else -1))
+        tails[k : k + 1], last[k : k + 1] = [j], [len(found) - 1]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(found[k][:2])
+        k = found[k][2]
+    return out[::-1]
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places with equal keys, ascending in both, in time that follows the lengths.
+
+    What both begin and end with matches, then keys that are unique in both, and so on between them. What
+    has no such key, or is left after ``DEPTH`` rounds, is aligned exactly in ``BLOCK`` keys at a time.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b), 0)]
+    while todo:
+        a0, a1, b0, b1, depth = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        anchors = _anchors(a, b, a0, a1, b0, b1) if depth < DEPTH else []
+        if anchors:
+            out += anchors
+            ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
+            todo += [(i + 1, k, j + 1, m, depth + 1) for (i, j), (k, m) in zip(ends, ends[1:], strict=False)]
+            continue
+        parts = -(-max(a1 - a0, b1 - b0) // BLOCK)
+        cuts = [(a0 + (a1 - a0) * k // parts, b0 + (b1 - b0) * k // parts) for k in range(parts + 1)]
+        for (i, j), (k, m) in zip(cuts, cuts[1:], strict=False):
+            for x, y, n in SequenceMatcher(None, a[i:k], b[j:m], autojunk=False).get_matching_blocks():
+                out += [(i + x + d, j + y + d) for d in range(n)]
+    return sorted(out)
 
 
 def shape(page: str) -> list[tuple[str, bool, int | None]]:
@@ -158,12 +236,16 @@ def text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def places_of(keys: list[str]) -> list[str]:
-    """The containers of each folded item."""
-    return ["\n".join(x) for x in contexts([(k, "") for k in keys])]
+def places_of(keys: list[str]) -> list[int]:
+    """A hash of all open elements of each folded item."""
+    around, elements = containers(keys)
+    hashes = [0]
+    for parent, key in elements[1:]:
+        hashes.append(text_hash(f"{hashes[parent]}\n{key}"))
+    return [hashes[i] for i in around]
 
 
-def placed_hash(place: str, text: int) -> int:
+def placed_hash(place: int, text: int) -> int:
     return text_hash(f"{place}\n{text}")
 
 
@@ -184,15 +266,16 @@ def merge(wrappers: list[list[dict]]) -> list[dict]:
     wrapper = wrappers[0]
     for new in wrappers[1:]:
         merged: list[dict] = []
-        for what, a0, a1, b0, b1 in _aligned([x["key"] for x in wrapper], [x["key"] for x in new]):
-            if what == "equal":
-                for x, y in zip(wrapper[a0:a1], new[b0:b1], strict=True):
-                    merged.append({
-                        "key": x["key"], "opt": x["opt"] or y["opt"], "plus": x["plus"] or y["plus"], "const": x["const"] if x["const"] == y["const"] else None,
-                        "pages": sorted({*x["pages"], *y["pages"]})[:SEEN], "known": sorted({*x["known"], *y["known"]}),
-                    })
-            else:  # each side's rest becomes an optional group
-                merged += [x | {"opt": True} for x in wrapper[a0:a1] + new[b0:b1]]
+        i = j = 0
+        for k, m in [*matches([x["key"] for x in wrapper], [x["key"] for x in new]), (len(wrapper), len(new))]:
+            merged += [x | {"opt": True} for x in wrapper[i:k] + new[j:m]]  # each side's rest becomes an optional group
+            if k < len(wrapper):
+                x, y = wrapper[k], new[m]
+                merged.append({
+                    "key": x["key"], "opt": x["opt"] or y["opt"], "plus": x["plus"] or y["plus"], "const": x["const"] if x["const"] == y["const"] else None,
+                    "pages": sorted({*x["pages"], *y["pages"]})[:SEEN], "known": sorted({*x["known"], *y["known"]}),
+                })
+            i, j = k + 1, m + 1
         wrapper = merged
     return wrapper
 
@@ -240,9 +323,8 @@ def _parsed(wrapper: str) -> tuple[list, list[str], set[int]]:
 def _matched(wrapper: str, keys: tuple[str, ...]) -> tuple[int, ...]:
     """For each folded item of a page the wrapper's item, or -1."""
     out = [-1] * len(keys)
-    for what, a0, _a1, b0, b1 in _aligned(_parsed(wrapper)[1], list(keys)):
-        if what == "equal":
-            out[b0:b1] = range(a0, a0 + b1 - b0)
+    for i, j in matches(_parsed(wrapper)[1], list(keys)):
+        out[j] = i
     return tuple(out)
 
 
@@ -251,15 +333,16 @@ def extract(page: str | None, wrapper: str | None) -> str:
     if not page:
         return ""
     stream = tokens(page)
-    around, article = contexts(stream), has_article(stream)
+    around, elements = containers([k for k, _ in stream])
+    judged, article = verdicts(elements)
     items, _, known = _parsed(wrapper or "[]")
     folded = fold([k for k, _ in stream])
     keys = [k for k, _ in folded]
     learned = bool(known) and not article
     match = _matched(wrapper, tuple(keys)) if learned else [-1] * len(keys)
-    containers = places_of(keys) if learned else keys
+    hashes = places_of(keys) if learned else [0] * len(keys)
     main = set()
-    for (key, places), slot, place in zip(folded, match, containers, strict=True):
+    for (key, places), slot, place in zip(folded, match, hashes, strict=True):
         if key != "T":
             continue
         for i in places:
@@ -267,7 +350,8 @@ def extract(page: str | None, wrapper: str | None) -> str:
             if learned:
                 text = text_hash(" ".join(stream[i][1].split()))
                 constant = (slot >= 0 and text in items[slot][3]) or placed_hash(place, text) in known
-            if verdict(around[i], constant, article):
+            side, inside = judged[around[i]]
+            if not side and (inside if article else not constant):
                 main.add(i)
     blocks, now = [], []
     for i, (key, text) in enumerate(stream):

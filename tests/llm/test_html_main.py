@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 from folioflow.llm import html_main as h
 
@@ -77,3 +78,36 @@ def test_layouts_in_rounds_and_copies(spark):
         assert {t for x in json.loads(wrapper) for t in x[3]} >= {h.text_hash(f"{w} {k}") for w in ("notice", "legal") for k in range(12)}
     copies = spark.createDataFrame([(i, None, "<p>the same page</p>") for i in range(9)], "page_id long, url string, html string")
     assert {r.main_text for r in h.main_text(copies).collect()} == {"the same page"}
+
+
+def test_class_words_are_a_hint_on_articles():
+    assert h.extract('<article class="post related-topic"><p>real story</p></article>', None) == "real story"
+    assert h.extract('<article><p>story</p></article><article class="related"><p>teaser</p></article>', None) == "story"
+    assert h.extract('<article><p>story</p><article class="comment"><p>First!</p></article></article>', None) == "story"
+
+
+def test_matches_ascend_and_are_equal():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        found = h.matches(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+    assert h.matches(list("abcde"), list("xabde")) == [(0, 1), (1, 2), (3, 3), (4, 4)]
+
+
+def test_long_and_deep_pages_take_linear_time():
+    rng = random.Random(3)
+    tags = ["<p>", "<h2>", "<hr>", "<b>", "<i>", "</b>", "</i>", "<li>", "<dd>"]
+
+    def made(n):
+        return [f"<body><p>same notice</p>{''.join(rng.choice(tags) + (f'w{rng.random()}' if rng.random() < 0.5 else '') for _ in range(n))}" for _ in range(4)]
+
+    def seconds(pages):
+        begin = time.perf_counter()
+        h.extract(pages[3], h.infer(pages[:3]))
+        return time.perf_counter() - begin
+
+    seconds(made(2000))
+    assert seconds(made(32000)) < 24 * seconds(made(4000))  # eight times the length
+    assert h.extract("<div>" * 200000 + "<p>deep" + "</span>" * 1000, None) == "deep"
