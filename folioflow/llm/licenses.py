@@ -8,11 +8,12 @@ is 0.5 meets it in some band with probability 1 - 0.5 ** BANDS > 0.9999. What me
 
 Scale: a window can only match if it has an anchor: each template's anchors are words that stand in more
 than 1 - CONTAINED of its shingles (``anchors`` proves it), so windows without any are skipped without
-loss and most texts never leave the scan's filter. Templates are a fixed table; matches are grouped by
+loss and most texts never leave the scan's filter. Texts are cut into overlapping segments, a segment's
+windows are made once each and carry their own words only, so time follows the length. Templates are a fixed table; matches are grouped by
 document with at most one entry a template. No shuffle but that grouping's, of a row per document.
 
 Native: DataFrame functions only. Defined cases: null and empty texts have no license; texts shorter than
-a template are one window; repeated rows are scanned one by one; an empty table gives no rows.
+a template are one window; a row keeps its extra columns, whatever their names and types; repeated rows are scanned one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ TEMPLATES = {
 WORD = r"[\p{L}\p{N}]+"
 BANDS = 16
 CONTAINED = 0.8
+SEGMENT = 1024  # words of a text that are looked at together
 _COMMON = {"the", "of", "and", "or", "to", "in", "is", "a", "at", "by", "for", "this", "you", "under", "with", "without", "not", "be", "it", "any", "all", "can", "are", "use", "as"}
 _P = "__lic_"
 
@@ -88,49 +90,75 @@ def _shingles(w: Column) -> Column:
 def _signature(shingles: Column) -> Column:
     hashed = F.transform(shingles, lambda s: F.xxhash64(s))
 
-
     def least(h: Column, j: int) -> Column:
         return F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(j))))
 
     return F.element_at(F.transform(F.array(hashed), lambda h: F.array(*[least(h, j) for j in range(BANDS)])), 1)
 
 
+def _segments(w: Column, before: int, after: int) -> Column:
+    """The words in overlapping segments: base and the ``SEGMENT`` words from there on, with those around them from low on."""
+    low = lambda j: F.greatest(j * SEGMENT - before, F.lit(0))
+    one = lambda j: F.struct((j * SEGMENT).alias("base"), low(j).alias("low"), F.slice(w, low(j) + 1, F.lit(before + SEGMENT + after)).alias("words"))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / SEGMENT).cast("int")), one)
+
+
+def _windows(part: Column, spots: Column, n: int, step: int) -> Column:
+    """The distinct windows of n words that begin in a segment and hold an anchor: n, b (the start) and beside,
+    the words from one step before to one step behind it, of which own stand before the window."""
+    base, low, words_ = part["base"], part["low"], part["words"]
+    first = lambda p: F.greatest(F.ceil((p - (n - 1)) / step).cast("int") * step, F.ceil(base / step).cast("int") * step)
+    last = lambda p: F.least(p, base + (SEGMENT - 1))
+    every = lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    starts = F.array_distinct(F.flatten(F.transform(spots, every)))
+
+    def window(b: Column) -> Column:
+        own = F.least(b, F.lit(step))
+        return F.struct(F.lit(n).alias("n"), b.alias("b"), own.alias("own"), F.slice(words_, b - own - low + 1, own + (n + step)).alias("beside"))
+
+    return F.transform(starts, window)
+
+
 def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``docs`` without the text, with licenses: an array of (name, contained, start word), by name."""
+    """``docs`` without the text, with licenses: an array of (name, contained, start word), by name. A column
+    of ``docs`` with that name gives way to it."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
     words_ = sorted(set().union(*[anchors(_words(t)) for t in templates.values()]))
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words_)})(?![\p{{L}}\p{{N}}])"
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "licenses")]
     nothing = F.expr("cast(array() as array<struct<name:string,contained:double,start:int>>)")
-    lowered = docs.withColumn(f"{_P}t", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn(f"{_P}row", F.monotonically_increasing_id())
+    carried = F.struct(F.lit(0).alias(f"{_P}pad"), *rest).alias(f"{_P}rest")
+    lowered = docs.select(carried, F.lower(F.coalesce(F.col(text), F.lit(""))).alias(f"{_P}t"), F.monotonically_increasing_id().alias(f"{_P}row"))
     possible = F.col(f"{_P}t").rlike(pattern)
+    back = [F.col(f"{_P}rest").getField(c).alias(c) for c in rest]
 
-    w = F.col(f"{_P}w")
+    kinds = sorted({(len(_words(t)), max(1, len(_words(t)) // 8)) for t in templates.values()})
+    longest, widest = max((n for n, _ in kinds), default=1), max((s for _, s in kinds), default=1)
     worded = lowered.filter(possible).withColumn(f"{_P}w", F.regexp_extract_all(f"{_P}t", F.lit(WORD), F.lit(0)))
-    spots = F.filter(F.transform(w, lambda x, i: F.when(x.isin(words_), i)), lambda i: i.isNotNull())
-    placed = worded.select(*rest, f"{_P}row", f"{_P}w", F.explode_outer(spots).alias(f"{_P}p"))
-    n, step, p = F.col(f"{_P}n"), F.col(f"{_P}step"), F.col(f"{_P}p")
-    first = F.greatest(F.ceil((p - n + 1) / step).cast("int") * step, F.lit(0))
-    every = F.array(*[F.struct(F.lit(a).alias(f"{_P}n"), F.lit(b).alias(f"{_P}step")) for a, b in sorted({(len(_words(t)), max(1, len(_words(t)) // 8)) for t in templates.values()})])
-    spread = placed.withColumn(f"{_P}s", F.explode(every)).select(*rest, f"{_P}row", f"{_P}w", f"{_P}p", f"{_P}s.*")
-    starts = spread.withColumn(f"{_P}b", F.explode_outer(F.when(first <= p, F.sequence(first, p, step))))
-    b = F.col(f"{_P}b")
-    signed = starts.withColumn(f"{_P}sig", _signature(_shingles(F.slice(w, b + 1, n)))).select(
-        *rest, f"{_P}row", f"{_P}w", f"{_P}n", f"{_P}b", F.posexplode_outer(f"{_P}sig").alias(f"{_P}band", f"{_P}h")
+    parts = worded.select(f"{_P}rest", f"{_P}row", F.explode(_segments(F.col(f"{_P}w"), widest, longest + widest)).alias(f"{_P}s"))
+    part = F.col(f"{_P}s")
+    spots = F.filter(F.transform(part["words"], lambda x, i: F.when(x.isin(words_), i + part["low"])), lambda i: i.isNotNull())
+    placed = parts.withColumn(f"{_P}p", spots)
+    every = F.concat(*[_windows(part, F.col(f"{_P}p"), n, step) for n, step in kinds])
+    starts = placed.select(f"{_P}rest", f"{_P}row", F.explode_outer(every).alias(f"{_P}x")).select(
+        f"{_P}rest", f"{_P}row", *[F.col(f"{_P}x").getField(c).alias(f"{_P}{c}") for c in ("n", "b", "own", "beside")]
     )
+    b, beside = F.col(f"{_P}b"), F.col(f"{_P}beside")
+    signed = starts.withColumn(f"{_P}sig", _signature(_shingles(F.slice(beside, F.col(f"{_P}own") + 1, F.col(f"{_P}n")))))
+    signed = signed.select(f"{_P}rest", f"{_P}row", f"{_P}n", f"{_P}b", f"{_P}beside", F.posexplode_outer(f"{_P}sig").alias(f"{_P}band", f"{_P}h"))
     bands = known.withColumn(f"{_P}sig", _signature(F.col(f"{_P}shingles"))).select("*", F.posexplode(f"{_P}sig").alias(f"{_P}band", f"{_P}h")).drop(f"{_P}sig")
     met = signed.join(F.broadcast(bands), [f"{_P}n", f"{_P}band", f"{_P}h"], "left")  # BANDS rows a template
-    beside = F.slice(w, F.greatest(b - step, F.lit(0)) + 1, b + n + step - F.greatest(b - step, F.lit(0)))
     contained = F.size(F.array_intersect(f"{_P}shingles", _shingles(beside))) / F.col(f"{_P}m")
     verified = met.withColumn(f"{_P}c", F.when(F.col(f"{_P}name").isNotNull(), contained)).withColumn(f"{_P}hit", F.coalesce(F.col(f"{_P}c") >= CONTAINED, F.lit(False)))
-    best = verified.groupBy(f"{_P}row", *rest, F.when(F.col(f"{_P}hit"), F.col(f"{_P}name")).alias(f"{_P}name")).agg(
-        F.max(F.struct(F.col(f"{_P}c").alias("contained"), (-b).alias("start"))).alias("best")
+    best = verified.groupBy(f"{_P}row", F.when(F.col(f"{_P}hit"), F.col(f"{_P}name")).alias(f"{_P}name")).agg(
+        F.max(F.struct(F.col(f"{_P}c").alias("contained"), (-b).alias("start"))).alias(f"{_P}best"), F.first(f"{_P}rest").alias(f"{_P}rest")
     )
-    entry = F.when(F.col(f"{_P}name").isNotNull(), F.struct(F.col(f"{_P}name").alias("name"), F.col("best.contained").alias("contained"), (-F.col("best.start")).alias("start")))
-    found = best.groupBy(f"{_P}row", *rest).agg(F.array_sort(F.collect_list(entry)).alias("licenses"))  # at most one a template
-    none = lowered.filter(~possible).select(*rest, nothing.alias("licenses"))
-    return found.select(*rest, "licenses").unionByName(none)
+    entry = F.struct(F.col(f"{_P}name").alias("name"), F.col(f"{_P}best.contained").alias("contained"), (-F.col(f"{_P}best.start")).alias("start"))
+    entry = F.when(F.col(f"{_P}name").isNotNull(), entry)
+    found = best.groupBy(f"{_P}row").agg(F.array_sort(F.collect_list(entry)).alias("licenses"), F.first(f"{_P}rest").alias(f"{_P}rest"))  # at most one a template
+    none = lowered.filter(~possible).select(*back, nothing.alias("licenses"))
+    return found.select(*back, "licenses").unionByName(none)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from folioflow.llm import licenses as lic
 
@@ -45,3 +46,32 @@ def test_anchors_cannot_be_missed():
 
 def test_empty_table(spark):
     assert lic.find_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_over_several_segments(spark):
+    rng = random.Random(5)
+    filler = lambda n: rng.choices(["the", "license", "of", "software", "word", "reserved"], k=n)
+    rows = []
+    for k, t in enumerate(lic.TEMPLATES.values()):
+        before = (lic.SEGMENT - 4, lic.SEGMENT + rng.randint(0, 9), 2 * lic.SEGMENT - 30 + k)[k % 3]
+        rows.append((len(rows), " ".join([*filler(before), *t.split(), *filler(100)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [x.name for x in r.licenses] for r in lic.find_licenses(docs).collect()}
+    assert got == {i: plain(t) for i, t in rows}
+
+
+def test_long_texts_take_linear_time(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "licensed software reserved word " * n)], "doc_id long, text string")
+        begin = time.perf_counter()
+        assert lic.find_licenses(docs).collect()[0].licenses == []
+        return time.perf_counter() - begin
+
+    seconds(50)
+    assert seconds(1200) < 6 * seconds(300) + 4
+
+
+def test_columns_of_any_name_and_type_are_carried(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", 5, {"a": 1}, 2), (2, None, 6, None, 3)], "doc_id long, text string, licenses int, name map<string,int>, start int")
+    got = {r.doc_id: ([x.name for x in r.licenses], r.name, r.start) for r in lic.find_licenses(docs).collect()}
+    assert got == {1: (["mit-notice"], {"a": 1}, 2), 2: ([], None, 3)}
