@@ -45,6 +45,22 @@ def progress(checkpoint: DataFrame) -> DataFrame:
     return checkpoint.groupBy("book_id").agg((F.max("chunk_id") + 1).cast("long").alias("done"))
 
 
+def eta(timed: DataFrame, totals: DataFrame) -> DataFrame:
+    """book_id, remaining, eta_minutes: what is left at the pace of the last stored chunk (timed: book_id, chunk_id,
+    seconds; totals: book_id, total). Of a chunk stored twice the longer time counts; a book without one has no estimate."""
+    last = timed.groupBy("book_id").agg(F.max(F.struct("chunk_id", "seconds")).alias("last"))
+    remaining = F.greatest(F.col("total") - F.coalesce(F.col("last.chunk_id") + 1, F.lit(0)), F.lit(0)).cast("long")
+    rows = totals.join(last, "book_id", "left").withColumn("remaining", remaining)
+    return rows.select("book_id", "remaining", F.floor(F.col("remaining") * F.col("last.seconds") / 60).cast("long").alias("eta_minutes"))
+
+
+def output_sizes(files: DataFrame) -> DataFrame:
+    """book_id, size_kb of the Markdown files and n_png (files: book_id, path, length)."""
+    png = F.lower("path").endswith(".png")
+    size = F.round(F.sum(F.when(png, 0).otherwise(F.col("length"))) / 1024.0, 1).alias("size_kb")
+    return files.groupBy("book_id").agg(size, F.count_if(png).alias("n_png"))
+
+
 def status(alive: Column, done: Column, total: Column) -> Column:
     return F.when(alive, "running").when((total > 0) & (done >= total), "done").otherwise("idle")
 

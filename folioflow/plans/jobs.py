@@ -15,6 +15,7 @@ from folioflow.plans.backends import Backend, identity
 from folioflow.plans.translate import pending, transform_chunks
 from folioflow.sources.shared import delete
 from folioflow.sources.shared import exists as _exists
+from folioflow.sources.state import book_files, write_books
 
 
 def chunked_books(raw: DataFrame, max_words: int = chunks.MAX_WORDS, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -43,6 +44,16 @@ def books(store: DataFrame, raw: DataFrame, titles: DataFrame) -> DataFrame:
     return found.select("book_id", terms.annotate(F.col("text"), F.col("found")).alias("markdown"), terms.change_log(F.col("found")).alias("changes"))
 
 
+def finish(store: DataFrame, raw: DataFrame, titles: DataFrame, folder: str, glossary: bool = False) -> DataFrame:
+    """Write every book to its file under ``folder`` and, if asked, the glossary beside it as ``folder``_glossary;
+    book_id, size_kb and n_png of what is there."""
+    spark = raw.sparkSession
+    write_books(books(store, raw, titles), folder)
+    if glossary:
+        terms.glossary_note(terms.glossary(spark)).coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}_glossary")
+    return metrics.output_sizes(book_files(spark, folder))
+
+
 def status_table(registry: DataFrame, stored: DataFrame, totals: DataFrame, alive: DataFrame) -> DataFrame:
     """The job list: registry with done, total, percent, status (alive: pid of each live process)."""
     rows = registry.join(metrics.progress(stored), "book_id", "left").join(totals, "book_id", "left").join(alive.select("pid", F.lit(True).alias("live")), "pid", "left")
@@ -81,4 +92,4 @@ def export(source: str, kind: str = "epub", out: str | None = None) -> str:
     return target
 
 
-__all__ = ["CHUNK_SEPARATOR", "annotate_file", "books", "chunked_books", "clear", "export", "run", "status_table"]
+__all__ = ["CHUNK_SEPARATOR", "annotate_file", "books", "chunked_books", "clear", "export", "finish", "run", "status_table"]

@@ -489,6 +489,21 @@ def job_status(spark, d):
     return rows.select("book_id", "done", "total", "status", metrics.label(F.col("status"), F.col("done")).alias("label"), acts.alias("a")).select("*", "a.*").drop("a")
 
 
+@query(
+    "eta",
+    """WITH t AS (SELECT conv_id, turn, length(text) / 8.0 AS seconds FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT conv_id, max({'c': turn, 's': seconds}) AS m FROM t WHERE turn % 3 <> 2 GROUP BY conv_id),
+n AS (SELECT conv_id, max(turn) + 1 + conv_id % 7 AS total FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, m, greatest(total - coalesce(m.c + 1, 0), 0) AS remaining FROM n LEFT JOIN l USING (conv_id))
+SELECT conv_id AS book_id, CAST(remaining AS BIGINT) AS remaining, CAST(floor(remaining * m.s / 60) AS BIGINT) AS eta_minutes FROM r""",
+)
+def eta(spark, d):
+    turns = table(spark, d, "conversations")
+    timed = turns.filter("text IS NOT NULL AND turn % 3 <> 2").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chunk_id"), (F.length("text") / F.lit(8.0)).alias("seconds"))
+    totals = turns.groupBy(F.col("conv_id").alias("book_id")).agg(F.max("turn").alias("last")).select("book_id", (F.col("last") + 1 + F.col("book_id") % 7).alias("total"))
+    return metrics.eta(timed, totals)
+
+
 @query("progress_pct", f"WITH {JOBS} SELECT conv_id AS book_id, CASE WHEN total > 0 THEN least(CAST(floor(done * 100.0 / total + 0.5) AS BIGINT), 100) ELSE 0 END AS pct FROM j")
 def progress_pct(spark, d):
     stored = metrics.progress(checkpoint_read(spark, d))

@@ -1,10 +1,12 @@
-"""State files as tables: checkpoints, progress, the registry, logs, Markdown; and the optional PDF source."""
+"""State files as tables: checkpoints, progress, the registry, uploads, logs, Markdown, books; and the optional PDF source."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.metrics import title_of_file
+
 STATE = "struct<chunks:map<string,string>,last_chunk:int>"
 REGISTRY = "title string, from_page int, output_dir string, url_prefix string, pdf_path string, created_at string, pid int"
 
@@ -51,6 +53,43 @@ def landed_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Da
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
 
 
+def uploads(files: DataFrame, forms: DataFrame, books: str = "books") -> DataFrame:
+    """Registry rows of landed files (path) with the fields sent beside them (forms: path, title, from_page).
+
+    Without a title the file's name gives one, without a first page it is 1; a file without a form counts too.
+    Files may be the stream of ``landed_files``: write the rows before they are used, each run draws new ids.
+    """
+    named = files.select("path").join(forms.select("path", "title", "from_page"), "path", "left").withColumn("book_id", book_id())
+    title = F.coalesce(F.when(F.trim("title") != "", F.col("title")), title_of_file(F.element_at(F.split("path", "/"), -1)))
+    folder = F.concat(F.lit(f"{books}/"), "book_id", F.lit("/output"))
+    return named.select(
+        "book_id", title.alias("title"), F.coalesce("from_page", F.lit(1)).cast("int").alias("from_page"), folder.alias("output_dir"),
+        F.concat(F.lit("/data/"), folder).alias("url_prefix"), F.col("path").alias("pdf_path"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), F.lit(None).cast("int").alias("pid"),
+    )
+
+
+def write_books(books: DataFrame, folder: str) -> None:
+    """Write book_id and markdown to one text file a book, ``folder``/book_id=.../; other books' files stay.
+
+    The file sink ends each file with a newline of its own, which ``read_books`` takes off; null texts are empty.
+    """
+    rows = books.select(F.col("book_id").cast("string").alias("book_id"), F.coalesce("markdown", F.lit("")).alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").text(folder)
+
+
+def read_books(spark: SparkSession, folder: str) -> DataFrame:
+    """book_id, markdown: what ``write_books`` wrote."""
+    rows = spark.read.schema("value string, book_id string").text(folder, wholetext=True)
+    return rows.select("book_id", F.regexp_replace("value", r"\n\z", "").alias("markdown"))
+
+
+def book_files(spark: SparkSession, folder: str) -> DataFrame:
+    """book_id, path, length of the files under ``folder``/book_id=.../, from the listing alone."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return rows.select(F.regexp_extract("path", r"/book_id=([^/]*)/", 1).alias("book_id"), "path", "length").filter("book_id <> ''")
+
+
 def read_pdf(spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
     """Raw blocks of PDF files (the layout of ``operators.blocks``), a task a file. Needs PyMuPDF on the executors."""
     schema = (

@@ -303,3 +303,49 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         jobs.export(str(book), "doc")
     assert re.fullmatch("[0-9a-f]{10}", spark.range(1).select(state.book_id()).first()[0])
+
+
+def test_books_are_written_and_measured(spark, tmp_path):
+    folder = f"{tmp_path}/out"
+    texts = {"a": "# A\n\ntext\n", "b": "", "c": "no newline"}
+    state.write_books(spark.createDataFrame([*texts.items()], "book_id string, markdown string"), folder)
+    state.write_books(spark.createDataFrame([("b", "second"), ("d", None)], "book_id string, markdown string"), folder)  # the others stay
+    want = texts | {"b": "second", "d": ""}
+    assert {r.book_id: r.markdown for r in state.read_books(spark, folder).collect()} == want
+    (tmp_path / "out" / "book_id=a" / "images").mkdir()
+    for k in range(2):
+        (tmp_path / "out" / "book_id=a" / "images" / f"p{k}.png").write_bytes(b"x" * 5000)
+    got = {r.book_id: (r.size_kb, r.n_png) for r in metrics.output_sizes(state.book_files(spark, folder)).collect()}
+    assert got == {k: (round((len(t) + 1) / 1024, 1), 2 if k == "a" else 0) for k, t in want.items()}
+
+
+def test_a_finished_job(spark, tmp_path):
+    store = spark.createDataFrame([("k", 0, "Перша сага тут."), ("k", 1, "Далі.")], "book_id string, chunk_id int, translated string")
+    raw = spark.createDataFrame([("k", 3), ("k", 9)], "book_id string, page_num int")
+    titles = spark.createDataFrame([("k", "T")], "book_id string, title string")
+    sizes = jobs.finish(store, raw, titles, f"{tmp_path}/out", glossary=True).collect()
+    assert [(r.book_id, r.n_png) for r in sizes] == [("k", 0)]
+    assert state.read_books(spark, f"{tmp_path}/out").first().markdown == jobs.books(store, raw, titles).first().markdown
+    note = spark.read.text(f"{tmp_path}/out_glossary", wholetext=True).first().value
+    assert note.rstrip("\n") == terms.glossary_note(terms.glossary(spark)).first().note
+
+
+def test_uploads(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    for name in ("one_book (1).pdf", "two.pdf", "note.txt"):
+        (land / name).write_bytes(b"%PDF")
+    stream = state.landed_files(spark, str(land)).select("path", "length").writeStream.format("memory").queryName("landed").trigger(availableNow=True).start()
+    assert stream.awaitTermination(120)
+    files = spark.table("landed")
+    two = next(r.path for r in files.collect() if r.path.endswith("two.pdf"))
+    rows = {r.title: r for r in state.uploads(files, spark.createDataFrame([(two, "Second", 7)], "path string, title string, from_page int")).collect()}
+    assert {t: r.from_page for t, r in rows.items()} == {"one book": 1, "Second": 7} and rows["Second"].pdf_path == two
+    for r in rows.values():
+        assert re.fullmatch("[0-9a-f]{10}", r.book_id) and r.url_prefix == f"/data/books/{r.book_id}/output" and r.pid is None
+
+
+def test_eta(spark):
+    timed = spark.createDataFrame([("a", 0, 900.0), ("a", 4, 90.0), ("b", 9, 60.0)], "book_id string, chunk_id int, seconds double")
+    totals = spark.createDataFrame([("a", 10), ("b", 10), ("c", 3)], "book_id string, total int")
+    assert {(r.book_id, r.remaining, r.eta_minutes) for r in metrics.eta(timed, totals).collect()} == {("a", 5, 7), ("b", 0, 0), ("c", 3, None)}
