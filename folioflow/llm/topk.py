@@ -12,7 +12,8 @@ merge is a rank limit, which Spark applies before its shuffle too.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows
 without an id; missing components of a shorter vector count as 0; a row's own id is never its
-candidate; repeated query rows are answered one by one; ties go to the smaller id; sums are 64-bit.
+candidate; repeated query rows are answered one by one; ties go to the smaller id. A term beyond 64 bits is the nearest 64-bit number, and so is a score, whose sum is
+made of whole numbers of any length where 64 bits could overflow.
 """
 
 from __future__ import annotations
@@ -54,10 +55,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _largest(matrix: np.ndarray) -> int:
+    return max(-int(matrix.min(initial=0)), int(matrix.max(initial=0)))
+
+
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores of each query with each candidate, one term at a time."""
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * queries.shape[1]
-    kind = np.int32 if bound < 1 << 30 else np.int64
+    bound = _largest(queries) * _largest(candidates) * queries.shape[1]
+    kind = np.int32 if bound < 1 << 30 else np.int64 if bound < 1 << 63 else object
     weights, postings = queries.T.astype(kind), np.ascontiguousarray(candidates.T.astype(kind))
     scores = np.zeros((len(queries), len(candidates)), kind)
     part = np.empty_like(scores)
@@ -68,7 +73,7 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         elif len(rows):
             columns = np.flatnonzero(posting)
             scores[np.ix_(rows, columns)] += np.multiply.outer(weight[rows], posting[columns])
-    return scores
+    return scores if kind is not object else np.clip(scores, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def select(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

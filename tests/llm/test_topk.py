@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,14 @@ def test_few_or_no_candidates(spark):
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(topk.quantise(one), F.col("id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
     assert topk.top_k(topk.quantise(one.limit(0)), F.col("id") % 20 == 0).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    rng = random.Random(4)
+    big = (1 << 63) - 1
+    q, c = (np.array([[rng.choice([0, 1, -5, big, -big - 1, 1 << 40, -(1 << 33)]) for _ in range(6)] for _ in range(n)]) for n in (9, 30))
+    want = [[max(-big, min(big, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for b in c] for a in q]
+    assert topk.accumulate(q, c).tolist() == want
+    rows = [(20, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0])]
+    got = topk.top_k(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("id") == 20).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, big), (3, 0), (2, -big)]
