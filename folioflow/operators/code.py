@@ -29,15 +29,19 @@ def put_back(text: Column, blocks: Column) -> Column:
         n = i.cast("string")
         return F.regexp_replace(t, F.concat(F.lit("`*(?<!«)CODE_BLOCK_"), n, F.lit(r"(?!\p{Nd})`*")), F.concat(F.lit("«CODE_BLOCK_"), n, F.lit("»")))
 
-    bare = F.regexp_replace(text, rf"`*[\"']?({PLACEHOLDER})[\"']?`*", "$1")
-    marked = F.when(bare.rlike("(?<!«)CODE_BLOCK_"), F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), bare, mark)).otherwise(bare)
+    def marked(bare: Column) -> Column:
+        return F.when(bare.rlike("(?<!«)CODE_BLOCK_"), F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), bare, mark)).otherwise(bare)
 
     def insert(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(0))
         block = lambda m: F.coalesce(F.get(blocks, F.regexp_extract(m, r"\p{Nd}+", 0).try_cast("int")), m, F.lit(""))
         return F.array_join(F.zip_with(F.split(t, PLACEHOLDER, -1), found, lambda gap, m: F.concat(gap, block(m))), "")
 
-    return F.when(F.size(blocks) > 0, let(marked, insert)).otherwise(text)
+    def whole(t: Column) -> Column:
+        bare = F.regexp_replace(t, rf"`*[\"']?({PLACEHOLDER})[\"']?`*", "$1")
+        return F.when(F.size(blocks) > 0, let(let(bare, marked), insert)).otherwise(t)
+
+    return let(text, whole)
 
 
 def has_prose(sanitized: Column) -> Column:

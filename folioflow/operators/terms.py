@@ -13,6 +13,8 @@ from folioflow.functions.pytext import NAME, SPACES, WS, let, places
 
 CYRILLIC = r"[\x{400}-\x{4ff}]"
 CODE = r"(?s)```.*?```"
+#: Letter variants that the patterns' case folding takes for these letters and lower case doesn't (all code points were tried).
+VARIANTS = ("\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86", "вдосттъ")
 
 
 def java(pattern: str) -> str:
@@ -20,10 +22,24 @@ def java(pattern: str) -> str:
     return "(?iu)" + pattern.replace(r"[\s-]", f"[{SPACES}-]").replace(r"\s", WS).replace(r"\w", NAME)
 
 
+def needed(pattern: str) -> str:
+    """The longest run of Cyrillic letters that every match of one of the fixed patterns has."""
+    fixed = re.sub(r"\[[^\]]*\]|\([^)]*\)", ".", pattern)  # no class, no group
+    return max(re.findall(r"[а-яіїєґ]+(?![а-яіїєґ]|[?*{])", fixed), key=len)
+
+
 def force_english(text: Column) -> Column:
-    """All forms in order; every pattern needs a Cyrillic letter, so other texts skip the fold."""
-    forced = functools.reduce(lambda t, f: F.regexp_replace(t, java(f[0]), f[1]), ENGLISH_FORMS, text)
-    return F.when(text.rlike(CYRILLIC), forced).otherwise(text)
+    """All forms in order. Every pattern needs a Cyrillic letter, so other texts skip the fold, and a run of them
+    (``needed``), so only texts that have it go through the pattern. What is put in is Latin, so no run comes about on the way."""
+
+    def forced(low: Column) -> Column:
+        one = lambda t, f: let(t, lambda x: F.when(F.contains(low, F.lit(needed(f[0]))), F.regexp_replace(x, java(f[0]), f[1])).otherwise(x))
+        return functools.reduce(one, ENGLISH_FORMS, text)
+
+    def folded(low: Column) -> Column:
+        return F.when(low.rlike(f"[{VARIANTS[0]}]"), F.translate(low, *VARIANTS)).otherwise(low)
+
+    return F.when(text.rlike(CYRILLIC), let(let(F.lower(text), folded), forced)).otherwise(text)
 
 
 def term_pattern(term: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import http.server
 import json
 import random
@@ -12,7 +13,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions.fixed_values import ANNOTATIONS, CONTEXT_LABEL, MARKERS
+from folioflow.functions.fixed_values import ANNOTATIONS, CONTEXT_LABEL, ENGLISH_FORMS, MARKERS
 from folioflow.functions.pytext import count_words, places, split_lines, strip
 from folioflow.operators import blocks, chunks, cleanup, code, guards, images, metrics, terms
 from folioflow.plans import backends, jobs, translate
@@ -349,3 +350,13 @@ def test_eta(spark):
     timed = spark.createDataFrame([("a", 0, 900.0), ("a", 4, 90.0), ("b", 9, 60.0)], "book_id string, chunk_id int, seconds double")
     totals = spark.createDataFrame([("a", 10), ("b", 10), ("c", 3)], "book_id string, total int")
     assert {(r.book_id, r.remaining, r.eta_minutes) for r in metrics.eta(timed, totals).collect()} == {("a", 5, 7), ("b", 0, 0), ("c", 3, None)}
+
+
+def test_forms_run_only_on_texts_that_may_have_them(spark):
+    rng = random.Random(11)
+    whole = functools.reduce(lambda t, f: F.regexp_replace(t, terms.java(f[0]), f[1]), ENGLISH_FORMS, F.col("x"))
+    bits = ["докер", "ДОКЕР", "\u1c81\u1c82кер", "г-рпц", "ГРПЦ", "гіт хаб", "Гітлаб", "мікросервісна архітектура", "архітектори програмного забезпечення", "розробка на основі тестування", "Граф QL", "скрам", "слово", " ", "\n", "-"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(300)]
+    assert column(spark, texts, terms.force_english) == column(spark, texts, lambda _: whole)
+    plan = spark.createDataFrame([("a",)], "x string").select(terms.force_english(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(terms.needed(f) in plan.lower() for f, _ in ENGLISH_FORMS) and plan.lower().count("contains(") == len(ENGLISH_FORMS)
