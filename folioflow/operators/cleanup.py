@@ -28,7 +28,7 @@ def cut_meta(text: Column) -> Column:
 
 
 def drop_trailing_fence(text: Column) -> Column:
-    return F.regexp_replace(text, TRAILING_FENCE, "$1")
+    return F.when(F.contains(text, F.lit(FENCE)), F.regexp_replace(text, TRAILING_FENCE, "$1")).otherwise(text)
 
 
 def drop_lone_fences(lines: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioflow.functions.fixed_values import FAKE_SECTIONS, MARKERS
-from folioflow.functions.pytext import count_words
+from folioflow.functions.pytext import count_words, let
 
 RATIO = 2.5
 LEAST_SHARE = 0.5
@@ -15,8 +15,8 @@ LEAST_SHARE = 0.5
 def added_reason(source: Column, result: Column) -> Column:
     """Why a result is taken to hold added content; null if it isn't."""
     any_of = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(result, m))
-    before, after = count_words(source), count_words(result)
-    return F.when(any_of(MARKERS), "marker").when(any_of(FAKE_SECTIONS), "section").when((before > 0) & (after > before * RATIO), "length")
+    longer = let(count_words(source), lambda before: (before > 0) & (count_words(result) > before * RATIO))
+    return F.when(any_of(MARKERS), "marker").when(any_of(FAKE_SECTIONS), "section").when(longer, "length")
 
 
 def accept_fix(translated: Column, fixed: Column) -> Column:

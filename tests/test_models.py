@@ -352,6 +352,13 @@ def test_eta(spark):
     assert {(r.book_id, r.remaining, r.eta_minutes) for r in metrics.eta(timed, totals).collect()} == {("a", 5, 7), ("b", 0, 0), ("c", 3, None)}
 
 
+def test_words_are_counted_once_and_without_a_pattern(spark):
+    assert "regexp" not in str(count_words(F.col("x"))._jc).lower()
+    assert column(spark, [None, "a b\x1cc \U0001f600"], count_words) == [None, 4]
+    rows = spark.createDataFrame([("a b", "a b")], "s string, r string").select(guards.added_reason(F.col("s"), F.col("r")).alias("y"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2  # each text's words once
+
+
 def test_forms_run_only_on_texts_that_may_have_them(spark):
     rng = random.Random(11)
     whole = functools.reduce(lambda t, f: F.regexp_replace(t, terms.java(f[0]), f[1]), ENGLISH_FORMS, F.col("x"))
