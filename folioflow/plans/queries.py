@@ -159,8 +159,9 @@ def page_count(spark, d):
 # ---- chunks
 @query("chunk_blocks", f"WITH RECURSIVE {FOLD} SELECT book_id, CAST(chunk_id AS INTEGER) AS chunk_id, count(*) AS n_blocks, CAST(sum(n_words) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM r GROUP BY ALL")
 def chunk_blocks(spark, d):
-    packed = chunks.chunk_blocks(fixtures.plain_blocks(spark, d), BUDGET)
-    return packed.groupBy("book_id", "chunk_id").agg(F.count("*").alias("n_blocks"), F.sum("n_words").cast("long").alias("n_words"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    measured = fixtures.plain_blocks(spark, d).withColumn("n_chars", F.length("text"))  # so no text is shuffled
+    packed = chunks.chunk_blocks(measured, BUDGET)
+    return packed.groupBy("book_id", "chunk_id").agg(F.count("*").alias("n_blocks"), F.sum("n_words").cast("long").alias("n_words"), F.sum("n_chars").cast("long").alias("n_chars"))
 
 
 @query("chunk_text", f"WITH RECURSIVE {FOLD} SELECT book_id, CAST(chunk_id AS INTEGER) AS chunk_id, md5(coalesce(string_agg({MARKDOWN}, chr(10) || chr(10) ORDER BY ord) FILTER (kind <> 'image'), '')) AS text_md5 FROM r GROUP BY ALL")

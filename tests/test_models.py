@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.fixed_values import ANNOTATIONS, CONTEXT_LABEL, ENGLISH_FORMS, MARKERS
 from folioflow.functions.pytext import count_words, places, split_lines, strip
 from folioflow.operators import blocks, chunks, cleanup, code, guards, images, metrics, terms
-from folioflow.plans import backends, jobs, translate
+from folioflow.plans import backends, jobs, queries, translate
 from folioflow.sources import state
 from folioflow.streaming import chunk_stream
 
@@ -367,3 +367,9 @@ def test_forms_run_only_on_texts_that_may_have_them(spark):
     assert column(spark, texts, terms.force_english) == column(spark, texts, lambda _: whole)
     plan = spark.createDataFrame([("a",)], "x string").select(terms.force_english(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
     assert all(terms.needed(f) in plan.lower() for f, _ in ENGLISH_FORMS) and plan.lower().count("contains(") == len(ENGLISH_FORMS)
+
+
+def test_chunk_blocks_shuffles_no_text(spark):
+    plan = queries.QUERIES["chunk_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.index("Join")].split("\n")[-2]
+    assert "n_chars" in joined and "text" not in joined
