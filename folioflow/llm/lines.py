@@ -52,7 +52,7 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
     """A constant array: 4 bits for each bucket of word hashes, sixteen to a long, from 0 (rare) to 15: the count
     of the bucket's words in half octaves about the median of all buckets."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
-    counted = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(bucket).count().toArrow()  # BUCKETS rows at most
+    counted = docs.select(F.explode_outer(words(F.col(text))).alias("w")).filter("w IS NOT NULL").groupBy(bucket).count().toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS)
     counts[counted["b"].to_numpy()] = counted["count"].to_numpy()
     octaves = np.log2(np.maximum(counts, 1) / max(1.0, float(np.median(counts))))
@@ -73,17 +73,15 @@ def tokens(line: Column, classes: Column) -> Column:
     return F.sort_array(F.array_distinct(let(F.transform(hashes, marked), _shingles)))
 
 
-def _join(a: Column, b: Column) -> Column:
-    """A token of two tokens in a row: the rarest class of both, a hash of both. Nulls count for nothing."""
-    return F.least(a, b).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(a, b).bitwiseAND(F.lit(_LOW)))
+def _shingles(m: Column) -> Column:
+    """The tokens of each ``SHINGLE`` marks in a row, in one pass: the rarest class of all, a hash of all. Places past
+    the end are null and count for nothing."""
 
+    def token(x: Column, i: Column) -> Column:
+        five = [x, *[F.get(m, i + k) for k in range(1, SHINGLE)]]
+        return F.coalesce(F.least(*five).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
 
-def _shingles(m: Column) -> Column:
-    """The tokens of each ``SHINGLE`` = 5 marks in a row, by doubling: of 2, of 4, of 5."""
-    after = lambda x, k: F.slice(x, F.lit(1 + k), F.size(m))
-    count = F.greatest(F.size(m) - (SHINGLE - 1), F.lit(1))
-    whole = lambda four: F.zip_with(F.slice(four, F.lit(1), count), after(m, 4), lambda a, b: F.coalesce(_join(a, b), F.lit(0).cast("long")))
-    return let(F.zip_with(m, after(m, 1), _join), lambda two: let(F.zip_with(two, after(two, 2), _join), whole))
+    return F.transform(F.slice(m, F.lit(1), F.greatest(F.size(m) - (SHINGLE - 1), F.lit(1))), token)
 
 
 def _bit(token: Column) -> Column:
@@ -97,7 +95,7 @@ def parity(t: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, hash, pos, line, id and id2 of every line with a word; docs: doc_id, hash, text."""
-    rows = docs.select("doc_id", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.select("doc_id", "hash", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     return rows.filter(F.col("line").rlike(WORD)).withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit("second"), "line")})
 
 
@@ -125,7 +123,7 @@ def _postings(docs: DataFrame, repeated: DataFrame, classes: Column) -> DataFram
     size = F.size("t")
     prefix = F.slice("t", F.lit(1), size - F.floor((NEED * size + OF - 1) / OF).cast("int") + 1)
     signed = tokened.select("id", "doc", parity(F.col("t")).alias("sig"), size.alias("n"), prefix.alias("p"))
-    dealt = signed.select("id", "doc", "sig", "n", F.posexplode("p").alias("i", "token")).repartition("token")
+    dealt = signed.select("id", "doc", "sig", "n", F.posexplode_outer("p").alias("i", "token")).repartition("token")
     one = Window.partitionBy("token")
     shared = dealt.withColumns({"low": F.min("id").over(one), "high": F.max("id").over(one)}).filter("low <> high")
     classed = shared.groupBy("token", "id", "n", "i", "sig").agg(F.min("doc").alias("doc"))
