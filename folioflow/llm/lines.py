@@ -43,45 +43,72 @@ SHINGLE = 5
 NEED, OF = 4, 5  # the similarity as a fraction
 BUCKETS = 65536
 COMMON = 20000
-_TOP = 0xF << 56
-_LOW = (1 << 56) - 1
+PLACE = 20  # bits of a word's place; longer lines speak with all their tokens
+_HASH = ((1 << 59) - 1) ^ ((1 << PLACE) - 1)
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A constant array: 4 bits for each bucket of word hashes, sixteen to a long, from 0 (rare) to 15: the count
-    of the bucket's words in half octaves about the median of all buckets."""
+    """A constant array: a class for each bucket of word hashes, from 0 (rare) to 15: the count of the bucket's words
+    in half octaves about the median of all buckets."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
     counted = docs.select(F.explode_outer(words(F.col(text))).alias("w")).filter("w IS NOT NULL").groupBy(bucket).count().toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS)
     counts[counted["b"].to_numpy()] = counted["count"].to_numpy()
     octaves = np.log2(np.maximum(counts, 1) / max(1.0, float(np.median(counts))))
-    classes = np.clip(np.floor(2 * octaves) + 4, 0, 15).astype(np.uint64).reshape(-1, 16)
-    packed = (classes << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
-    return F.from_json(F.lit(json.dumps(packed.tolist(), separators=(",", ":"))), "array<bigint>")
+    classes = np.clip(np.floor(2 * octaves) + 4, 0, 15).astype(int)
+    return F.from_json(F.lit(json.dumps(classes.tolist(), separators=(",", ":"))), "array<bigint>")
 
 
-def tokens(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a line, the rarest first."""
-    hashes = F.transform(words(line), lambda x: F.xxhash64(x))
+def _line_words(line: Column) -> Column:
+    """``words`` of a line with a word; most lines have one space between words and nothing to take out."""
+    odd = [F.contains(line, F.lit(c)) for c in ("\t", "\n", "\x0b", "\x0c", "\r", "  ")]
+    plain = ~(odd[0] | odd[1] | odd[2] | odd[3] | odd[4] | odd[5] | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
+    return F.when(plain, F.split(line, " ", -1)).otherwise(words(line))
 
-    def marked(h: Column) -> Column:
-        sixteen = F.get(classes, F.shiftright(h, 4).bitwiseAND(F.lit(BUCKETS // 16 - 1)).cast("int"))
-        own = F.call_function("shiftright", sixteen, F.shiftleft(h.bitwiseAND(F.lit(15)).cast("int"), 2)).bitwiseAND(F.lit(15).cast("long"))
-        return F.coalesce(F.shiftleft(own, 56), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-    return F.sort_array(F.array_distinct(let(F.transform(hashes, marked), _shingles)))
+def tokens(line: Column) -> Column:
+    """The distinct shingles of a line, as hashes."""
+    return F.sort_array(F.array_distinct(let(F.transform(_line_words(line), lambda x: F.xxhash64(x)), _shingles)))
 
 
-def _shingles(m: Column) -> Column:
-    """The tokens of each ``SHINGLE`` marks in a row, in one pass: the rarest class of all, a hash of all. Places past
-    the end are null and count for nothing."""
+def _shingles(h: Column) -> Column:
+    """A hash of each ``SHINGLE`` hashes in a row. Places past the end are null and count for nothing."""
+    count = F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1))
+    return F.transform(F.slice(h, F.lit(1), count), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
 
-    def token(x: Column, i: Column) -> Column:
-        five = [x, *[F.get(m, i + k) for k in range(1, SHINGLE)]]
-        return F.coalesce(F.least(*five).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
 
-    return F.transform(F.slice(m, F.lit(1), F.greatest(F.size(m) - (SHINGLE - 1), F.lit(1))), token)
+def _marks(h: Column, classes: Column) -> Column:
+    """A long for each word (of hash h): 4 bits of rarity, 39 of hash, and its place, ``PLACE`` bits."""
+
+    def marked(x: Column, i: Column) -> Column:
+        own = F.coalesce(F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(own, 59).bitwiseOR(x.bitwiseAND(F.lit(_HASH))).bitwiseOR(i.cast("long"))
+
+    return F.transform(h, marked)
+
+
+def _least(i: Column) -> Column:
+    """The mark of the rarest word of the shingle at place i of ``m``, the first of equal ones."""
+    return F.least(*[F.get("m", i + k) for k in range(SHINGLE)])
+
+
+def _word(mark: Column) -> Column:
+    return F.shiftright(mark, PLACE)
+
+
+def _place(mark: Column) -> Column:
+    return mark.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+
+
+def _cover(s: Column, c: Column, n: Column) -> Column:
+    """How many distinct shingles, at least, of a line of n have one of the c rarest words (s: all marks in order).
+    Only words that occur once are counted: no two shingles with such a word are equal."""
+    at = lambda i: _word(F.get(s, i))
+    top = F.transform(F.slice(s, F.lit(1), c), lambda x, i: F.when((_word(x) != F.coalesce(at(i - 1), F.lit(-1))) & (_word(x) != F.coalesce(at(i + 1), F.lit(-1))), _place(x)))
+    zero = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("next"))
+    more = lambda z, p: F.greatest(F.lit(0), F.least(p, n - 1) - F.greatest(p - (SHINGLE - 1), z["next"]) + 1)
+    return F.aggregate(F.sort_array(F.array_compact(top)), zero, lambda z, p: F.struct((z["seen"] + more(z, p)).alias("seen"), (p + 1).alias("next")))["seen"]
 
 
 def _bit(token: Column) -> Column:
@@ -119,23 +146,32 @@ def _postings(docs: DataFrame, repeated: DataFrame, classes: Column) -> DataFram
     common = repeated.filter(F.col("times") > total / COMMON).select(F.col("id").alias("c"), F.col("id2").alias("c2"), "first")
     heard = _lines(docs).join(F.broadcast(common), (F.col("id") == F.col("c")) & (F.col("id2") == F.col("c2")), "left")
     heard = heard.filter(F.col("c").isNull() | (_order() == F.col("first")))
-    tokened = heard.select("id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), tokens(F.col("line"), classes).alias("t"))
-    size = F.size("t")
-    prefix = F.slice("t", F.lit(1), size - F.floor((NEED * size + OF - 1) / OF).cast("int") + 1)
-    signed = tokened.select("id", "doc", parity(F.col("t")).alias("sig"), size.alias("n"), prefix.alias("p"))
-    dealt = signed.select("id", "doc", "sig", "n", F.posexplode_outer("p").alias("i", "token")).repartition("token")
+    hashed = heard.select("id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.transform(_line_words(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
+    n = F.greatest(F.size("h") - (SHINGLE - 1), F.lit(1))
+    low = F.greatest(F.size(F.array_distinct("h")) - (SHINGLE - 1), F.lit(1))
+    marked = hashed.select("id", "doc", n.alias("n"), low.alias("low"), _marks(F.col("h"), classes).alias("m"))
+    ranked = marked.select("*", F.sort_array("m").alias("s"))
+    need = F.col("n") - F.ceil(F.lit(NEED) * F.col("n") / OF).cast("int") + 1
+    tried = [F.ceil(need / SHINGLE).cast("int"), F.ceil(need / (SHINGLE - 1)).cast("int") + 1, F.ceil(need / 2).cast("int") + 1]
+    last = F.lit(1 << 43)
+    upto = F.coalesce(*[F.when(_cover(F.col("s"), c, F.col("n")) >= need, _word(F.get("s", c - 1))) for c in tried], last)
+    upto = F.when(F.size("m") < 1 << PLACE, upto).otherwise(last)
+    placed = ranked.select("id", "doc", "n", "low", "m", upto.alias("upto")).select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    mine, before = _least(F.col("i")), F.when(F.col("i") > 0, _least(F.col("i") - 1))
+    start = lambda x, i: F.greatest(i, F.least(_place(x) - 1, i + 2))
+    first = before.isNull() | (_word(before) > F.col("upto")) | (start(before, F.col("i") - 1) != start(mine, F.col("i")))
+    chosen = placed.filter((_word(mine) <= F.col("upto")) & first)
+    token = F.xxhash64(*[_word(F.get("m", start(mine, F.col("i")) + k)) for k in range(3)]).alias("token")
+    dealt = chosen.select("id", "doc", "n", "low", token).repartition("token")
     one = Window.partitionBy("token")
-    shared = dealt.withColumns({"low": F.min("id").over(one), "high": F.max("id").over(one)}).filter("low <> high")
-    classed = shared.groupBy("token", "id", "n", "i", "sig").agg(F.min("doc").alias("doc"))
-    return cut(classed.withColumn("head", F.min(F.struct("doc", "id", "n", "i", "sig")).over(one)))
+    shared = dealt.withColumns({"least": F.min("id").over(one), "most": F.max("id").over(one)}).filter("least <> most")
+    classed = shared.groupBy("token", "id", "n", "low").agg(F.min("doc").alias("doc"))
+    return cut(classed.withColumn("head", F.min(F.struct("doc", "id", "n", "low")).over(one)))
 
 
 def _near(a: str, b: str) -> Column:
-    """The length, positional and parity filters of two postings of one token."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i"))
-    differ = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
-    return (OF * F.least(n, m) >= NEED * F.greatest(n, m)) & ((NEED + OF) * rest >= NEED * (n + m)) & ((NEED + OF) * differ <= (OF - NEED) * (n + m))
+    """The length filter of two postings of one token: a line has between ``low`` and ``n`` distinct shingles."""
+    return (OF * F.col(f"{a}.n") >= NEED * F.col(f"{b}.low")) & (OF * F.col(f"{b}.n") >= NEED * F.col(f"{a}.low"))
 
 
 def _with_heads(postings: DataFrame) -> DataFrame:
@@ -168,7 +204,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) ->
         near = docs.join(asked.select(F.col("doc").alias("d")), doc == F.col("d"), "left_semi")
         found = _lines(near).withColumn("d", doc).join(asked, (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
         line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
-        found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line"), classes).alias("t")))
+        found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line")).alias("t")))
 
         row = ["row", "id", "doc", "line"]
         word = F.pmod(F.shiftright("x", 6), F.lit(wide)).cast("int").alias("w")

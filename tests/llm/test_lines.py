@@ -60,3 +60,31 @@ def test_a_common_line_speaks_once(spark, monkeypatch):
     rows = [(i, f"one two three four five six\nown line number {i} of this text") for i in range(40)] + [(99, "one two three four five six seven")]
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == plain(rows)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generators_make_their_arrays_once(spark):
+    docs = spark.createDataFrame([(1, 5, "a b\nc")], "doc_id long, hash long, text string")
+    assert plan(lines._lines(docs)).count("split(") == 1  # a filter on the array's size made it again
+
+
+def test_long_and_repetitive_lines_equal_all_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [rng.choices(vocabulary, k=n) for n in (5, 6, 9, 14, 30, 90, 200, 400)] + [rng.choices(vocabulary[:3], k=120), vocabulary[:4] * 40]
+    docs = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 1 + len(w) // 25)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1, 2])] = rng.choices(vocabulary, k=rng.choice([0, 1, 1, 3]))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(w) + 1)
+            w = w[at:] + w[:at]
+        docs.append((i, " ".join(w)))
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == plain(docs)
+    assert 20 < sum(t == "" for t in out.values()) < 110
