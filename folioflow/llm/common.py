@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.pytext import let
 from folioflow.sources.shared import delete, shared_folder
 
-__all__ = ["GAP", "WORD", "broadcast_if_small", "cut", "let", "n_rows", "n_words", "scratch", "shared_folder", "small_batches", "table", "text_or_empty", "words"]
+__all__ = ["GAP", "WORD", "broadcast_if_small", "cut", "let", "n_rows", "n_words", "pieces", "scratch", "shared_folder", "small_batches", "table", "text_or_empty", "words"]
 
 #: A word: a run of anything but space, tab, newline, VT, FF and CR (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,11 +87,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def words(text: Column) -> Column:
-    """The words of a text, without a pattern: white space becomes spaces, and what stands between them are words."""
+def pieces(text: Column) -> Column:
+    """The words of a text and empty strings, without a pattern: white space becomes spaces, and words stand between them."""
     ends = F.replace(text, F.lit("\n"), F.lit(" "))
-    spaced = F.when(ends.rlike(r"[\t\x0b-\r]"), F.translate(ends, "\t\x0b\x0c\r", " " * 4)).otherwise(ends)
-    return F.array_remove(F.split(spaced, " ", -1), "")
+    odd = F.contains(ends, F.lit("\t")) | F.contains(ends, F.lit("\x0b")) | F.contains(ends, F.lit("\x0c")) | F.contains(ends, F.lit("\r"))
+    return F.split(F.when(odd, F.translate(ends, "\t\x0b\x0c\r", " " * 4)).otherwise(ends), " ", -1)
+
+
+def words(text: Column) -> Column:
+    """The words of a text."""
+    return F.array_remove(pieces(text), "")
 
 
 def n_words(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Line deduplication: an exact set-similarity join with prefix, positional and length filters.
 
 A line's tokens are its distinct 5-word shingles (a shorter line is one shingle); lines match at a
-Jaccard similarity of 0.8. The tokens of every line are ordered by rarity: first by the count of their
-rarest word, counted over all texts in ``BUCKETS`` hash buckets, then by their hash. Two matching lines
+Jaccard similarity of 0.8. The tokens of every line are ordered by rarity: first by the count of the
+rarest of their first, middle and last word, counted over all texts in ``BUCKETS`` hash buckets, then by
+their hash. Two matching lines
 share a token among the first n - ceil(0.8 n) + 1 of each, and at their first common token what is left
 must still reach the needed overlap; lengths must agree within 0.8. Beside that each line has a parity
 signature (bit k: whether an odd number of its tokens fall on k), whose differing bits cannot outnumber
@@ -32,12 +33,13 @@ gives no rows; extra columns are carried, whatever their names.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, broadcast_if_small, cut, let, scratch, table, words
+from folioflow.llm.common import WORD, broadcast_if_small, cut, let, pieces, scratch, table, words
 
 SHINGLE = 5
 NEED, OF = 4, 5  # the similarity as a fraction
@@ -49,39 +51,44 @@ _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A constant array: 4 bits for each bucket of word hashes, sixteen to a long, from 0 (rare) to 15: the count
-    of the bucket's words in half octaves about the median of all buckets."""
+    """A constant array: a class for each bucket of word hashes, from 0 (rare) to 15: the count of the bucket's words
+    in half octaves about the median of all buckets."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
-    counted = docs.select(F.explode_outer(words(F.col(text))).alias("w")).filter("w IS NOT NULL").groupBy(bucket).count().toArrow()  # BUCKETS rows at most
+    counted = docs.select(F.explode_outer(pieces(F.col(text))).alias("w")).filter("w <> ''").groupBy(bucket).count().toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS)
     counts[counted["b"].to_numpy()] = counted["count"].to_numpy()
     octaves = np.log2(np.maximum(counts, 1) / max(1.0, float(np.median(counts))))
-    classes = np.clip(np.floor(2 * octaves) + 4, 0, 15).astype(np.uint64).reshape(-1, 16)
-    packed = (classes << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
-    return F.from_json(F.lit(json.dumps(packed.tolist(), separators=(",", ":"))), "array<bigint>")
+    classes = np.clip(np.floor(2 * octaves) + 4, 0, 15).astype(int)
+    return F.from_json(F.lit(json.dumps(classes.tolist(), separators=(",", ":"))), "array<bigint>")
+
+
+def _hashes(line: Column) -> Column:
+    return F.transform(words(line), lambda x: F.xxhash64(x))
 
 
 def tokens(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a line, the rarest first."""
-    hashes = F.transform(words(line), lambda x: F.xxhash64(x))
+    """The distinct tokens of a line, the rarest first: the rarest class of the first, middle and last word of each
+    shingle (in two shingles or more these are all words of the line), and a hash of its words."""
 
     def marked(h: Column) -> Column:
-        sixteen = F.get(classes, F.shiftright(h, 4).bitwiseAND(F.lit(BUCKETS // 16 - 1)).cast("int"))
-        own = F.call_function("shiftright", sixteen, F.shiftleft(h.bitwiseAND(F.lit(15)).cast("int"), 2)).bitwiseAND(F.lit(15).cast("long"))
-        return F.coalesce(F.shiftleft(own, 56), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+        own = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(own, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+
+    def token(five: list[Column]) -> Column:
+        return F.least(*five[::2]).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW)))
 
-    return F.sort_array(F.array_distinct(let(F.transform(hashes, marked), _shingles)))
+    return F.sort_array(F.array_distinct(let(F.transform(_hashes(line), marked), lambda m: _shingles(m, token))))
 
 
-def _shingles(m: Column) -> Column:
-    """The tokens of each ``SHINGLE`` marks in a row, in one pass: the rarest class of all, a hash of all. Places past
-    the end are null and count for nothing."""
+def plain_tokens(line: Column) -> Column:
+    """The distinct shingles of a line as hashes, in the order of the line: all that a comparison of whole sets needs."""
+    return F.array_distinct(let(_hashes(line), lambda m: _shingles(m, lambda five: F.xxhash64(*five))))
 
-    def token(x: Column, i: Column) -> Column:
-        five = [x, *[F.get(m, i + k) for k in range(1, SHINGLE)]]
-        return F.coalesce(F.least(*five).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
 
-    return F.transform(F.slice(m, F.lit(1), F.greatest(F.size(m) - (SHINGLE - 1), F.lit(1))), token)
+def _shingles(m: Column, token: Callable[[list[Column]], Column]) -> Column:
+    """``token`` of each ``SHINGLE`` values in a row. Places past the end are null and count for nothing."""
+    at = lambda x, i: F.coalesce(token([x, *[F.get(m, i + k) for k in range(1, SHINGLE)]]), F.lit(0).cast("long"))
+    return F.transform(F.slice(m, F.lit(1), F.greatest(F.size(m) - (SHINGLE - 1), F.lit(1))), at)
 
 
 def _bit(token: Column) -> Column:
@@ -154,7 +161,7 @@ def _with_all(asking: DataFrame, postings: DataFrame, done: DataFrame, more: Col
     return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, wide: int) -> DataFrame:
     """a, b, a_line, b_line (structs of order, id and id2) of the pairs (a written table) that match.
 
     The token sets of all lines asked for are written where they are found; what meets first are parity
@@ -168,7 +175,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) ->
         near = docs.join(asked.select(F.col("doc").alias("d")), doc == F.col("d"), "left_semi")
         found = _lines(near).withColumn("d", doc).join(asked, (F.col("id") == F.col("q")) & (F.col("d") == F.col("doc")))
         line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "pos", "id", "id2").alias("line")
-        found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, tokens(F.col("line"), classes).alias("t")))
+        found = cut(found.select(F.monotonically_increasing_id().alias("row"), "id", "doc", line, plain_tokens(F.col("line")).alias("t")))
 
         row = ["row", "id", "doc", "line"]
         word = F.pmod(F.shiftright("x", 6), F.lit(wide)).cast("int").alias("w")
@@ -192,13 +199,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: Column, wide: int) ->
         return keep(cut(both.filter((NEED + OF) * overlap >= NEED * (F.size("a_t") + F.size("b_t"))).select("a", "b", "a_line", "b_line")))
 
 
-def _started(docs: DataFrame, wide: int) -> tuple[Column, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rarity classes, the repeated lines, the postings, the pairs with heads and those that match."""
-    classes = rarity(docs)
+def _started(docs: DataFrame, wide: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The repeated lines, the postings, the pairs with heads and those that match."""
     repeated = _repeated(docs)
-    postings = _postings(docs, repeated, classes)
+    postings = _postings(docs, repeated, rarity(docs))
     pairs = cut(_with_heads(postings))
-    return classes, repeated, postings, pairs, _verified(docs, pairs, classes, wide)
+    return repeated, postings, pairs, _verified(docs, pairs, wide)
 
 
 def links(docs: DataFrame, wide: int = 32) -> DataFrame:
@@ -209,12 +215,12 @@ def links(docs: DataFrame, wide: int = 32) -> DataFrame:
     copies costs a star of links; every match between lines that don't is found.
     """
     with scratch() as keep:
-        classes, _, postings, pairs, stars = _started(docs, wide)
+        _, postings, pairs, stars = _started(docs, wide)
         edges = stars.select("a", "b")
         roots = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))  # b was compared with the earliest line a
         named = postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         rest = cut(_with_all(named, named, pairs, F.col("a.root") != F.col("b.root")))
-        return keep(cut(edges.unionByName(_verified(docs, rest, classes, wide).select("a", "b"))))
+        return keep(cut(edges.unionByName(_verified(docs, rest, wide).select("a", "b"))))
 
 
 def _late(matches: DataFrame) -> DataFrame:
@@ -226,10 +232,10 @@ def removals(docs: DataFrame, wide: int = 4) -> DataFrame:
     """doc_id, hash and removed (line numbers) of the documents that lose lines, a written table; docs: doc_id, hash, text.
     ``wide``: the words of a line's signature."""
     with scratch() as keep:
-        classes, repeated, postings, pairs, stars = _started(docs, wide)
+        repeated, postings, pairs, stars = _started(docs, wide)
         settled = cut(_late(stars))
         asking = postings.join(broadcast_if_small(settled, 64).select("id"), "id", "left_anti")
-        late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), classes, wide)))
+        late = settled.unionByName(_late(_verified(docs, cut(_with_all(asking, postings, pairs)), wide)))
 
         none = F.lit(None).cast(repeated.schema["first"].dataType)
         both = repeated.select("id", "id2", "first", F.lit(False).alias("late")).unionByName(late.select("id", "id2", none.alias("first"), F.lit(True).alias("late")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from folioflow.llm import lines
 from folioflow.llm.common import WORD
 
@@ -90,3 +93,27 @@ def test_long_and_repetitive_lines_equal_all_pairs(spark):
     out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == plain(docs)
     assert 20 < sum(t == "" for t in out.values()) < 110
+
+
+def test_words_are_found_without_a_pattern_and_sets_without_rarity(spark):
+    text = "a b\tc\x0bd\x0ce\rf  g a b\tc d e \nq"
+    one = spark.createDataFrame([(text,), ("x y x y x y x y",), ("z",)], "line string").withColumn("words", lines.words(F.col("line")))
+    sets = one.withColumn("tokens", F.size(lines.plain_tokens(F.col("line"))))
+    rows = sets.collect()
+    assert [r.words for r in rows] == [re.findall(WORD, r.line) for r in rows]
+    assert [r.tokens for r in rows] == [len({tuple(r.words[k : k + 5]) for k in range(max(1, len(r.words) - 4))}) for r in rows]
+    made = plan(sets)
+    assert "RLIKE" not in made and "least(" not in made
+
+
+@pytest.mark.parametrize("size", [5, 6, 7, 8, 12, 40])
+def test_the_first_token_has_the_rarest_word(spark, size):
+    common = [f"c{k}" for k in range(size)]
+    texts = [" ".join(common)] * 50
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    classes = lines.rarity(docs)
+    places = [p for p in range(size) if size > 5 or p % 2 == 0]  # a line of one shingle has no choice
+    with_rare = [" ".join([*common[:p], f"rare{p}", *common[p + 1 :]]) for p in places]
+    first = lambda line: F.get(lines.tokens(line, classes), 0)
+    made = spark.createDataFrame([(t,) for t in with_rare + texts[:1]], "line string").select(F.shiftright(first(F.col("line")), 56).alias("c")).collect()
+    assert all(r.c < made[-1].c for r in made[:-1])
