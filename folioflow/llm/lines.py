@@ -1,9 +1,8 @@
 """Line deduplication: an exact set-similarity join with prefix, positional and length filters.
 
 A line's tokens are its distinct 5-word shingles (a shorter line is one shingle); lines match at a
-Jaccard similarity of 0.8. The tokens of every line are ordered by rarity: first by the count of the
-rarest of their first, middle and last word, counted over all texts in ``BUCKETS`` hash buckets, then by
-their hash. Two matching lines
+Jaccard similarity of 0.8. The tokens of every line are ordered by rarity: first by the count of their
+rarest word, counted over all texts in ``BUCKETS`` hash buckets, then by their hash. Two matching lines
 share a token among the first n - ceil(0.8 n) + 1 of each, and at their first common token what is left
 must still reach the needed overlap; lengths must agree within 0.8. Beside that each line has a parity
 signature (bit k: whether an odd number of its tokens fall on k), whose differing bits cannot outnumber
@@ -67,15 +66,14 @@ def _hashes(line: Column) -> Column:
 
 
 def tokens(line: Column, classes: Column) -> Column:
-    """The distinct tokens of a line, the rarest first: the rarest class of the first, middle and last word of each
-    shingle (in two shingles or more these are all words of the line), and a hash of its words."""
+    """The distinct tokens of a line, the rarest first: the rarest class of the words of each shingle, and a hash of them."""
 
     def marked(h: Column) -> Column:
         own = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(own, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
     def token(five: list[Column]) -> Column:
-        return F.least(*five[::2]).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW)))
+        return F.least(*five).bitwiseAND(F.lit(_TOP)).bitwiseOR(F.xxhash64(*five).bitwiseAND(F.lit(_LOW)))
 
     return F.sort_array(F.array_distinct(let(F.transform(_hashes(line), marked), lambda m: _shingles(m, token))))
 
